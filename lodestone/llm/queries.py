@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat_format, sharding, substring_dedup
+from lodestone.llm import chat_format, decontamination, sharding, substring_dedup
 from lodestone.llm.common import table
 
 
@@ -24,12 +24,18 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_sharding": op4_sharding,
+    "op7_decontamination": op7_decontamination,
 }
 
 ORACLE_SQL = {
     "op2_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op7_decontamination": decontamination.ORACLE_SQL,
 }
