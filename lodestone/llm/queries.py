@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat_format, decontamination, quality, sharding, substring_dedup, toxicity
+from lodestone.llm import chat_format, decontamination, quality, sharding, simhash, substring_dedup, toxicity
 from lodestone.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, bits=4)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -43,6 +47,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_sharding": op4_sharding,
     "op7_decontamination": op7_decontamination,
+    "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
 }
