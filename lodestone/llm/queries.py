@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import chat_format, decontamination, quality, sharding, simhash, substring_dedup, toxicity
+from lodestone.llm import chat_format, decontamination, packing, quality, sharding, simhash, substring_dedup, toxicity
 from lodestone.llm.common import table
 
 
@@ -24,6 +24,17 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
 
 
+def tokenizer_path() -> str:
+    """Where the public vocabulary of op6 lies; executors have it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,6 +57,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_sharding": op4_sharding,
+    "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
