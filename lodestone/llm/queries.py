@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import chat_format, decontamination, packing, quality, sharding, simhash, substring_dedup, toxicity
+from lodestone.llm import chat_format, decontamination, hnsw, packing, quality, sharding, simhash, substring_dedup, toxicity
 from lodestone.llm.common import table
 
 
@@ -24,6 +25,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op5_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(vectors, vectors.filter(F.pmod("vec_id", F.lit(50)) == 0), k=5)
+
+
 def tokenizer_path() -> str:
     """Where the public vocabulary of op6 lies; executors have it at the same place."""
     import public_tokenizers
@@ -57,6 +63,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_sharding": op4_sharding,
+    "op5_hnsw": op5_hnsw,
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
