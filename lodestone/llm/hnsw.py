@@ -233,8 +233,9 @@ def nearest(
     asked = pick(queries, query_id=vec_id, vec=embedding).filter(usable("vec") & F.col("query_id").isNotNull())
     asked = asked.select(F.col("query_id").cast("long"), F.col("vec").cast("array<double>"), F.size("vec").alias("dim"))
     blocks = max(1, -(-asked.count() // BLOCK))
-    where = index.select("dim", "shard")
-    left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).join(F.broadcast(where), "dim")
+    where = index.select(F.col("dim").alias("_dim"), F.col("shard").alias("_shard"))
+    left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).join(where, F.col("dim") == F.col("_dim"))
+    left = left.select("query_id", "vec", F.col("_dim").alias("dim"), F.col("_shard").alias("shard"), "block")
     right = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(q: pd.DataFrame, ix: pd.DataFrame) -> pd.DataFrame:
