@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat_format, decontamination, hnsw, packing, quality, sharding, simhash, substring_dedup, toxicity
+from lodestone.llm import chat_format, decontamination, hnsw, line_dedup, packing, quality, sharding, simhash, substring_dedup, toxicity
 from lodestone.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_spans(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).drop("_tk")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
 
@@ -62,6 +66,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_sharding": op4_sharding,
     "op5_hnsw": op5_hnsw,
     "op6_packing": op6_packing,
@@ -73,5 +78,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op7_decontamination": decontamination.ORACLE_SQL,
 }
