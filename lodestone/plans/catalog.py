@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import importlib
+
+from lodestone.plans.registry import ORACLE_SQL, QUERIES
+
+for _family in ("retrieval",):
+    importlib.import_module(f"lodestone.plans.{_family}")
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
