@@ -28,3 +28,11 @@ def cut(df: DataFrame) -> DataFrame:
         named = context.getConf().get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-"))
     return df.checkpoint()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; in a temporary one where none is named (tests)."""
+    import uuid
+
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
