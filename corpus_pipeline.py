@@ -11,20 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontamination, line_dedup, packing, quality, simhash
-from lodestone.llm.common import staged, table
+from lodestone.llm.common import numbered_columns, staged, table
 from lodestone.llm.queries import tokenizer_path
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier (op 10) scores under one half go; labels of its held-out fold aren't learnt."""
     machine = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, machine).filter("score >= 0.5").select(*docs.columns)
+    return quality.scored(docs, machine).filter("score >= 0.5").drop("score").toDF(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines similar to an earlier line (op 3) go; a text of which nothing is left stays, as an empty one."""
-    out = line_dedup.without_repeats(docs)
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+    plain, at = numbered_columns(line_dedup.without_repeats(docs))
+    n = at["n_chars"]
+    return plain.withColumn(n, F.length(at["text"]).cast(plain.schema[n].dataType)).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +34,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts that say nothing (no words) are one such group. Rows that share a doc_id stay or go together.
     """
     kept = simhash.near_duplicates(docs, shingle=5, bits=4).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    plain, at = numbered_columns(docs)
+    return plain.join(kept, F.col(at["doc_id"]).eqNullSafe(F.col("_kept")), "left_semi").toDF(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item (op 7) go."""
     found = decontamination.find_items(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("_found")), "left_anti")
+    plain, at = numbered_columns(docs)
+    return plain.join(found, F.col(at["doc_id"]).eqNullSafe(F.col("_found")), "left_anti").toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,17 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return plain.select(*[F.col(f"_p{at[old]}").alias(new) for new, old in columns.items()])
 
 
+def numbered_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns _d0, _d1 .., and which of them each (exact, first) name became; undone by toDF(*df.columns).
+
+    So joins and new columns can't clash with whatever else a table holds.
+    """
+    at: dict[str, str] = {}
+    for i, name in enumerate(df.columns):
+        at.setdefault(name, f"_d{i}")
+    return df.toDF(*[f"_d{i}" for i in range(len(df.columns))]), at
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     conf = spark.sparkContext.getConf()

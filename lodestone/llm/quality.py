@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.llm.common import pick
+from lodestone.llm.common import numbered_columns, pick
 from lodestone.llm.labelled import remainder, sample
 from lodestone.llm.vectors import U, Words, words
 
@@ -177,18 +178,17 @@ def score(docs: DataFrame, machine: Machine, folds: int = 3, held: int = 1, doc_
     alike. Empty tables give no rows; further columns are ignored. Nothing is shuffled.
     """
     rows = pick(docs, doc_id=doc_id, text=text)
-    return scored(rows, machine, "text").select(F.col("doc_id").cast("long"), (remainder("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored(rows, machine, "text").toDF("doc_id", "text", "score").select(F.col("doc_id").cast("long"), (remainder("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def scored(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
-    """docs with a score for each row's text."""
-    from pyspark.sql import types as T
-
+    """docs with its columns as numbered_columns() names them, and `score`, of the text column."""
+    plain, names = numbered_columns(docs)
     sent = docs.sparkSession.sparkContext.broadcast(machine)
-    at = docs.columns.index(text)
+    at = plain.columns.index(names[text])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.score(batch.column(at)))], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType())]))
