@@ -37,7 +37,7 @@ dr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id
 _TOKENS = r"list_filter(regexp_split_to_array(lower({}), '\s+'), lambda w: w <> '')"
 _ASKED = ", ".join(f"({i}, '{t}')" for i, t in ASKED)
 _BM25 = rf"""
-q AS (SELECT qid, unnest({_TOKENS.format("t")}) AS term FROM (VALUES {_ASKED}) AS x(qid, t)),
+q AS (SELECT CAST(qid AS BIGINT) AS qid, unnest({_TOKENS.format("t")}) AS term FROM (VALUES {_ASKED}) AS x(qid, t)),
 qt AS (SELECT qid, term, count(*) AS times FROM q GROUP BY ALL),
 w AS (SELECT doc_id, {_TOKENS.format("text")} AS ws FROM documents),
 st AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM w),

@@ -36,3 +36,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package from where the driver has it, whatever their folder.
+
+    On a cluster the package is shipped with --py-files; then this changes nothing.
+    """
+    import os
+    from pathlib import Path
+
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parent.parent)
+    had = env.get("PYTHONPATH") or os.environ.get("PYTHONPATH") or ""
+    if root not in had.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, had) if x)
