@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import importable
+
 _WRITTEN: list = []
 
 
@@ -18,6 +20,7 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     Columns are found by position first, so names that differ in case only, or that clash with names used
     inside an operator, do no harm. A name that is missing in exact case raises ValueError.
     """
+    importable(df.sparkSession)
     at = {}
     for i, name in enumerate(df.columns):
         at.setdefault(name, i)
