@@ -102,14 +102,14 @@ def context_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 _URL = r"https?://[A-Za-z0-9./_-]+"
 
 
-@query(rf"""WITH d AS (SELECT doc_id, text || ' http://x.org/a' || CAST(doc_id % 3 AS VARCHAR) || ' https://husc.edu.vn/b' AS text FROM documents),
-u AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{_URL}'))) AS url FROM d) SELECT doc_id, url, contains(url, 'husc.edu.vn') OR url = 'http://x.org/a1' AS grounded FROM u""")
+@query(rf"""WITH d AS (SELECT doc_id, text || ' http://x.org/a' || CAST(doc_id % 3 AS VARCHAR) || ' https://campus.example/b' AS text FROM documents),
+u AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{_URL}'))) AS url FROM d) SELECT doc_id, url, contains(url, 'campus.example') OR url = 'http://x.org/a1' AS grounded FROM u""")
 def url_grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN17: an address is grounded if a chunk holds it, or its host is on the list."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" http://x.org/a"), (F.col("doc_id") % 3).cast("string"), F.lit(" https://husc.edu.vn/b")).alias("text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" http://x.org/a"), (F.col("doc_id") % 3).cast("string"), F.lit(" https://campus.example/b")).alias("text"))
     u = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_URL), F.lit(0)))).alias("url"))
     chunks = F.array(F.lit("see http://x.org/a1"), F.lit("nothing"))
-    return u.select("doc_id", "url", (F.contains("url", F.lit("husc.edu.vn")) | F.exists(chunks, lambda c: F.contains(c, F.col("url")))).alias("grounded"))
+    return u.select("doc_id", "url", (F.contains("url", F.lit("campus.example")) | F.exists(chunks, lambda c: F.contains(c, F.col("url")))).alias("grounded"))
 
 
 @query(rf"SELECT conv_id, turn, trim(regexp_replace(text || ' http://x.org/a end', '{_URL}', '', 'g')) AS text, regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '<email>', 'g'), '[0-9]{{6,}}', '<number>', 'g') AS redacted FROM conversations")
