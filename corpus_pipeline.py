@@ -29,11 +29,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose SimHash fingerprints connect (op 8, shingles of five words), the one with the smallest doc_id stays.
+    """Of documents that are near copies (shingles of five words), the one with the smallest doc_id stays.
 
-    Texts that say nothing (no words) are one such group. Rows that share a doc_id stay or go together.
+    Near copies are connected by SimHash fingerprints that differ in at most 4 bits (op 8), or by an exact Jaccard
+    similarity of 0.8 or more, which 4 bits alone would often miss. Texts that say nothing (no words) are one such group. Rows that share a doc_id stay or go together.
     """
-    kept = simhash.near_duplicates(docs, shingle=5, bits=4).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    kept = simhash.near_duplicates(docs, shingle=5, bits=4, similar=(4, 5)).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     plain, at = numbered_columns(docs)
     return plain.join(kept, F.col(at["doc_id"]).eqNullSafe(F.col("_kept")), "left_semi").toDF(*docs.columns)
 

@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import minhash
 from lodestone.llm.common import drop_staged, pick, staged
 from lodestone.llm.components import components
 
@@ -28,17 +29,21 @@ SEED = 42
 PORTION = 1 << 20
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """Bit i is set if it is set in over half of the XXH64 hashes of the word shingles; zero for a text without words."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 hashes of the word shingles, in order and with repeats; none for a text without words."""
     tokens = WORDS.findall(text.lower())  # bytes: A-Z only
     if not tokens:
-        return 0
+        return np.zeros(0, "<u8")
+    digest = xxhash.xxh64_intdigest
     if len(tokens) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(tokens), SEED)
+        return np.array([digest(b" ".join(tokens), SEED)], "<u8")
     plain = b" ".join(tokens)
     at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in tokens])]).tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(plain[a : b - 1], SEED) for a, b in zip(at, at[shingle:], strict=False)], "<u8")
+    return np.array([digest(plain[a : b - 1], SEED) for a, b in zip(at, at[shingle:], strict=False)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is set if it is set in over half of the hashes; zero for none."""
     total = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 15):
         part = hashes[i : i + (1 << 15)]
@@ -46,15 +51,34 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int.from_bytes(np.packbits(total * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long, for every row."""
+def fingerprint(text: bytes, shingle: int) -> int:
+    """Bit i is set if it is set in over half of the XXH64 hashes of the word shingles; zero for a text without words."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def fingerprints(docs: DataFrame, shingle: int, doc_id: str, text: str, sketched: bool = False) -> DataFrame:
+    """doc_id, fp: the fingerprint as a signed long, for every row; if sketched, also what minhash.merges() needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
-
-    return pick(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+            hashes = (shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in batch.column(1))
+            if not sketched:
+                out = np.array([majority(h) for h in hashes], np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+                continue
+            fp, size, bands = [], [], []
+            for h in hashes:
+                fp.append(majority(h))
+                distinct = np.unique(h)
+                size.append(len(distinct))
+                bands.append(minhash.bands(distinct))
+            signed = pa.array(np.array(fp, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), signed, batch.column(2), pa.array(size, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "fp", "tk", "size", "bands"]
+            )
+
+    rows = pick(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), "text", *([F.xxhash64("text").alias("tk")] if sketched else []))
+    return rows.mapInArrow(run, "doc_id long, fp long" + (", tk long, size long, bands array<long>" if sketched else ""))
 
 
 def self_join(keys: np.ndarray, budget: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -207,7 +231,7 @@ def links(distinct: DataFrame, bits: int) -> DataFrame:
     return dealt.mapInPandas(join, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, doc_id: str = "doc_id", text: str = "text", similar: tuple[int, int] | None = None) -> DataFrame:
     """doc_id, fingerprint, component_id: one row per row of docs.
 
     Texts are lower-cased A-Z only and cut into words at ASCII white space; a text with fewer words than `shingle` is
@@ -215,12 +239,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, doc_id: st
     of at most `bits` bits share a component_id, the smallest doc_id among them. A null doc_id is kept and is never the
     smallest, unless there is no other. Repeated rows are rows of their own. Empty tables give no rows; further columns
     are ignored. Copies count as one fingerprint throughout, so groups of copies cost nothing.
+
+    With `similar` = (num, den), texts whose shingle sets have a Jaccard similarity of num/den or more are connected
+    too, however far apart their fingerprints are (see minhash).
     """
-    marked = staged(fingerprints(docs, shingle, doc_id, text), "fingerprints")
+    marked = staged(fingerprints(docs, shingle, doc_id, text, similar is not None), "fingerprints")
     distinct = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     roots = components(links(distinct.select("fp"), bits))
     rooted = staged(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
+    drop_staged(distinct, roots)
+    if similar is not None:
+        known = marked.join(rooted.select(F.col("fp").alias("_fp"), "root"), F.col("fp") == F.col("_fp")).select("tk", "root", "size", "bands")
+        moves = minhash.merges(known, pick(docs, text=text), shingle, *similar)
+        merged = staged(rooted.join(moves, "root", "left").select("fp", "low", F.coalesce("to", "root").alias("root")), "rooted")
+        drop_staged(rooted, moves)
+        rooted = merged
     least = staged(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "least")
     classes = staged(rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id"), "classes")
-    drop_staged(distinct, roots, rooted, least)
+    drop_staged(rooted, least)
     return marked.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

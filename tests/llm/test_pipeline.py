@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lodestone.llm import decontamination
+from lodestone.llm import decontamination, simhash
 from test_other_operators import slow_fingerprint
 from test_text_operators import brute_containment, brute_lines
 
@@ -63,3 +63,37 @@ def test_stages_on_odd_tables(spark, sf_dir):
         out = stage(spark, table(spark, rows), sf_dir)
         assert out.count() >= 0
         assert stage(spark, table(spark, []), sf_dir).isEmpty(), name
+
+
+def test_near_copies_of_four_fifths_go(spark, sf_dir):
+    """Against brute-force Jaccard on the next larger table and on copies that lose or gain words at one place."""
+    plain = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    base = [f"word{i}" for i in range(300)]
+    made = [" ".join(base), " ".join(base[:250]), " ".join([*base[:120], *[f"new{i}" for i in range(25)], *base[120:]]), " ".join(base[:230]), " ".join(base[100:])]
+    rows = [(r.doc_id, r.text) for r in plain] + [(10_000_000 + i, t) for i, t in enumerate(made)]
+    sets = {i: set(zip(*[t.lower().split()[k:] for k in range(5)], strict=False)) for i, t in rows}
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    pairs = {(a, b) for v in holders.values() for k, b in enumerate(v) for a in v[:k]}
+    near = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    fp = {i: slow_fingerprint(t, 5) for i, t in rows}
+    assert sum((fp[a] ^ fp[b]).bit_count() > 4 for a, b in near) > 5
+    component = {r.doc_id: r.component_id for r in simhash.near_duplicates(table(spark, rows), shingle=5, bits=4, similar=(4, 5)).collect()}
+    assert [p for p in near if component[p[0]] != component[p[1]]] == []
+    root = {i: i for i in fp}  # nothing else is connected
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(fp)
+    close = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (fp[a] ^ fp[b]).bit_count() <= 4]
+    for a, b in [*near, *close]:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    assert component == {i: find(i) for i in ids}
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, table(spark, rows), sf_dir).collect()}
+    assert kept == {i for i in ids if find(i) == i} and {10_000_000, 10_000_004} <= kept
