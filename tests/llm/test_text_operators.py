@@ -126,6 +126,15 @@ def test_rewritten_texts(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).isEmpty()
 
 
+def test_similar_lines_at_one_place_keep_one(spark):
+    near = ["a b c d e f g h i j", "a b c d e f g h i k", "a b c d e f g h i l"]
+    for i in (None, 7):
+        rows = [(i, t) for t in near]
+        assert sum(r.kept for r in line_dedup.dedup_lines(docs(spark, rows)).collect()) == 1
+        left = [r[1] for r in line_dedup.without_repeats(docs(spark, rows)).collect()]
+        assert len(left) == 3 and sorted(left)[:2] == ["", ""] and max(left) in near
+
+
 # --- op 6
 
 
