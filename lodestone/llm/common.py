@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from lodestone.session import importable
 
 _WRITTEN: list = []
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -52,6 +54,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/lodestone-{spark.sparkContext.applicationId}"
 
 
+@contextlib.contextmanager
+def _files_freed(spark: SparkSession):
+    """Meanwhile Spark deletes a statement's shuffle files once it has ended; what was written needs them no more."""
+    had = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE, had) if had is not None else spark.conf.unset(_FREE)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet into the shared folder and read back: lineage ends here, and lost executors cost nothing.
 
@@ -60,7 +73,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     schema = df.schema
-    df.write.parquet(path)
+    with _files_freed(spark):
+        df.write.parquet(path)
     _WRITTEN.append((spark, path))
     out = spark.read.schema(schema).parquet(path)
     out._lodestone_path = path

@@ -98,11 +98,10 @@ def brute_lines(rows):
     for at, s in sorted(lines):
         if s:
             first.setdefault(s, at)
-    out = {}
-    for at, s in lines:
-        near = [x for x in first if s and x != s and 5 * len(x & s) >= 4 * len(x | s)]
-        out[at] = (len(near), not s or (first[s] == at and all(first[x] > at for x in near)))
-    return out
+    near = {s: [x for x in first if x != s and 5 * len(x & s) >= 4 * len(x | s)] for s in first}
+    goes = {s for s in first if any(first[x] < first[s] for x in near[s])}
+    links = {s: sum((x in goes) != (s in goes) for x in near[s]) for s in first}
+    return {at: (links.get(s, 0), not s or (first[s] == at and s not in goes)) for at, s in lines}
 
 
 def _words(line):
@@ -119,6 +118,32 @@ def test_similar_lines_against_brute_force(spark):
     assert got == brute_lines(rows)
 
 
+def test_large_groups_of_copies(spark):
+    """Near copies whose first is and isn't near to all others, equal lines, and long lines; also whole steps are linear in a group."""
+    base = [f"k{i}" for i in range(40)]
+    near = [" ".join([*base[:k % 40], f"new{k}", *base[k % 40 + 1 :]]) for k in range(300)]
+    apart = [" ".join([*(f"q{j}" for j in range(30)), *(f"r{(k + j) % 60}" for j in range(4))]) for k in range(120)]
+    long = [f"l{i}" for i in range(200)]
+    rows = [(i, t) for i, t in enumerate([" ".join(base), *near, *["one line of many"] * 300, *apart, *(" ".join([*long[:n], "x"]) for n in range(150, 200, 3))])]
+    got = {(r.doc_id, r.line_no): (r.n_links, r.kept) for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert got == brute_lines(rows)
+    assert got[(0, 0)] == (300, True) and sum(got[(i, 0)][1] for i in range(301)) == 1
+
+
+def test_rarities_are_no_column(spark, sf_dir, monkeypatch):
+    """The table of rarities stays a constant of one expression: as a column, each line would hold it."""
+    plans, write = {}, line_dedup.staged
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(line_dedup, "staged", seen)
+    line_dedup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert "AS levels" not in plans["lines"] and "Subquery" in plans["lines"]
+    assert not any(w in p for p in plans.values() for w in ("Python", "Arrow", "CartesianProduct", "BroadcastNestedLoopJoin"))
+
+
 def test_rewritten_texts(spark):
     rows = [(1, "a b c d e\nf g"), (2, "A B C D E\nz"), (3, "a b c d e"), (4, None), (None, "f g")]
     got = {r.doc_id: r.text for r in line_dedup.without_repeats(docs(spark, rows)).toDF("doc_id", "text", "other", "ord").collect()}
