@@ -95,6 +95,7 @@ def locate(turns: Turns, template: Template) -> tuple[str, list[tuple[int, int,
     that the template left out or transformed beyond recognition, has an empty text span.
     """
     out, spans, rewritten = template([]), [], -1
+    sign = _sentinel(turns)
     for i in range(len(turns)):
         before, out = out, template(turns[: i + 1])
         if out.startswith(before):
@@ -104,14 +105,20 @@ def locate(turns: Turns, template: Template) -> tuple[str, list[tuple[int, int,
             start = _common(before, out)
             # Spans from the first changed character on no longer hold.
             spans = [s if s[1] <= start else (min(s[0], start), min(s[1], start), 0, 0) for s in spans]
-        marked = template([*turns[:i], (turns[i][0], SENTINEL)])
-        head, found, tail = marked.partition(SENTINEL)
+        marked = template([*turns[:i], (turns[i][0], sign)])
+        head, found, tail = marked.partition(sign)
         first, last = len(head), len(out) - len(tail)
-        whole = found and SENTINEL not in tail and first <= last and out.startswith(head) and out.endswith(tail) and first >= start
+        whole = found and sign not in tail and first <= last and out.startswith(head) and out.endswith(tail) and first >= start
         spans.append((start, len(out), first, last) if whole else (start, len(out), 0, 0))
     return out, spans, rewritten
 
 
+def _sentinel(turns: Turns) -> str:
+    """A sign that no text or role of the conversation holds, for one repeated run of U+E000 is longer than any in them."""
+    longest = max((len(run) for pair in turns for x in pair for run in re.findall(f"{SENTINEL[0]}+", x)), default=0)
+    return SENTINEL[1] + SENTINEL[0] * (longest + 1) + SENTINEL[1]
+
+
 def _common(a: str, b: str) -> int:
     """Length of the longest common prefix, by bisection over slices."""
     low, high = 0, min(len(a), len(b))

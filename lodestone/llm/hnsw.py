@@ -226,12 +226,13 @@ def nearest(
     with the query's own id are no candidates. Vectors that are null, zero, or hold null or non-finite components, and
     rows with a null id, take no part, as candidates or queries. Vectors of different lengths are never compared.
     Equal vectors are one node of a graph, with their k + 1 smallest ids, which is all that can ever be returned; so
-    copies neither bloat a graph nor cut it off. Fewer candidates than k give fewer rows; empty tables give none;
+    copies neither bloat a graph nor cut it off. Repeated query rows are one query; different vectors under one query id are
+    one query too, and a candidate counts by the nearest of them. Fewer candidates than k give fewer rows; empty tables give none;
     further columns are ignored. Measured recall is in the README.
     """
     index = build_index(vectors, k + 1, shard_rows, links, width, vec_id, embedding)
     asked = pick(queries, query_id=vec_id, vec=embedding).filter(usable("vec") & F.col("query_id").isNotNull())
-    asked = asked.select(F.col("query_id").cast("long"), F.col("vec").cast("array<double>"), F.size("vec").alias("dim"))
+    asked = asked.select(F.col("query_id").cast("long"), F.col("vec").cast("array<double>"), F.size("vec").alias("dim")).distinct()
     blocks = max(1, -(-asked.count() // BLOCK))
     where = index.select(F.col("dim").alias("_dim"), F.col("shard").alias("_shard"))
     left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).join(where, F.col("dim") == F.col("_dim"))
@@ -256,5 +257,7 @@ def nearest(
 
     keys = ["dim", "shard", "block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
+    # Of several query rows with one id, each candidate counts once, by the nearest of them.
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

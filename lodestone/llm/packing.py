@@ -119,48 +119,43 @@ Match = tuple[int, int, int, int, int, int]
 def pack(counts: dict[int, int], capacity: int) -> tuple[list[Match], int]:
     """(matches, sequences used) for so many pieces of each size.
 
-    Gaps are runs too: size -> ranges of sequences with that much free. A round goes down the piece sizes; the smallest
-    gap that holds a size is found by bisection among the round's gap sizes. A gap takes, in a round, pieces of one
-    size only, as many as fit. Gaps that a round changed are offered again in the next. When no gap takes anything,
-    sequences are opened: one for each piece over half the capacity, else the fewest that the rest could do with.
+    Gaps are runs too: room -> ranges of sequences with that much free. A round is one piece size, from the largest
+    down: its pieces are matched with the smallest gap that holds them, found by bisection among the gap sizes; a gap
+    takes as many of them as fit, for it stays the smallest that does; pieces left over open sequences. So the sequences
+    are those of item-by-item best-fit-decreasing.
     """
-    left = {s: n for s, n in counts.items() if n}
-    rank = dict.fromkeys(left, 0)
     gaps: dict[int, list[tuple[int, int]]] = {}
+    rooms: list[int] = []
     out: list[Match] = []
     used = 0
-    while left:
-        sizes = sorted(gaps)
-        after: dict[int, list[tuple[int, int]]] = {}
-        matched = False
-        for size in sorted(left, reverse=True):
-            at = bisect.bisect_left(sizes, size)
-            while left[size] and at < len(sizes):
-                room = sizes[at]
-                if not gaps.get(room):
-                    sizes.pop(at)
-                    continue
-                each = min(room // size, left[size])
-                low, high = gaps[room].pop()
-                take = min(high - low, max(1, left[size] // each))
-                if low + take < high:
-                    gaps[room].append((low + take, high))
-                n = take * each
-                out.append((size, rank[size], rank[size] + n, low, each, capacity - room))
-                rank[size] += n
-                left[size] -= n
-                after.setdefault(room - each * size, []).append((low, low + take))
-                matched = True
-        left = {s: n for s, n in left.items() if n}
-        for room, runs in after.items():
-            if room:
-                gaps.setdefault(room, []).extend(runs)
-        gaps = {r: runs for r, runs in gaps.items() if runs}
-        if left and not matched:
-            big = sum(n for s, n in left.items() if 2 * s > capacity)
-            new = big or max(1, -(-sum(s * n for s, n in left.items()) // capacity))
-            gaps.setdefault(capacity, []).append((used, used + new))
-            used += new
+
+    def offer(room: int, low: int, high: int) -> None:
+        if room and low < high:
+            if room not in gaps:
+                gaps[room] = []
+                bisect.insort(rooms, room)
+            gaps[room].append((low, high))
+
+    for size in sorted((s for s, n in counts.items() if n), reverse=True):
+        rank, end = 0, counts[size]
+        while rank < end:
+            at = bisect.bisect_left(rooms, size)
+            if at == len(rooms):
+                new = -(-(end - rank) // (capacity // size))
+                offer(capacity, used, used + new)
+                used += new
+                continue
+            room = rooms[at]
+            low, high = gaps[room].pop()
+            if not gaps[room]:
+                del gaps[room]
+                rooms.pop(at)
+            each = min(room // size, end - rank)
+            take = min(high - low, (end - rank) // each)
+            out.append((size, rank, rank + take * each, low, each, capacity - room))
+            rank += take * each
+            offer(room, low + take, high)
+            offer(room - each * size, low, low + take)
     return out, used
 
 

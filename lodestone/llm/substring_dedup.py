@@ -124,7 +124,7 @@ def dedup_spans(docs: DataFrame, sentences: int = 2, words: int = 20, doc_id: st
     firsts = staged(
         found.groupBy("h1", "h2").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).filter("low < high").select("h1", "h2", "low"), "firsts"
     )
-    later = found.join(firsts, ["h1", "h2"]).filter("ord > low").groupBy("ord", "rk").agg(F.collect_list("first").alias("starts"))
+    later = found.join(firsts, ["h1", "h2"]).filter("ord > low").groupBy("ord", "rk").agg(F.collect_set("first").alias("starts"))
     joined = rows.withColumns({"_o": order, "_k": rk}).join(later, (F.col("_o") == F.col("ord")) & (F.col("_k") == F.col("rk")), "left")
     return joined.select("doc_id", "text", "starts").mapInArrow(_remove(sentences, words), "doc_id long, text string, n_sentences long, n_removed long")
 

@@ -102,6 +102,8 @@ def test_odd_vectors(spark):
     got = [(r.query_id, r["rank"], r.vec_id) for r in hnsw.nearest(df, df.filter("vec_id in (0, 3, 4, 8)"), 3).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 10), (3, 1, 0), (3, 2, 1), (3, 3, 2)]
     assert hnsw.nearest(df.limit(0), df, 3).isEmpty()
+    twice = df.filter("vec_id in (0, 3)").unionAll(df.filter("vec_id = 0"))
+    assert [(r.query_id, r["rank"], r.vec_id) for r in hnsw.nearest(df, twice, 3).orderBy("query_id", "rank").collect()] == got
 
 
 # --- op 8

@@ -33,6 +33,14 @@ def test_template_is_read_back(turns):
     assert [s[0] for s in spans[1:]] == [s[1] for s in spans[:-1]]
 
 
+def test_texts_that_hold_the_sentinel():
+    sign = chat_format.SENTINEL
+    for said in (sign, "x" + sign, sign * 3, sign[0] * 9, sign[1] + sign[0] * 2 + sign[1]):
+        turns = [("user", said), ("assistant", "hello"), ("user", "y"), ("assistant", said + "z")]
+        out, spans, _ = chat_format.locate(turns, chat_format.instruct)
+        assert [chat_format.unescape(out[a:b]) for _, _, a, b in spans] == [t for _, t in turns]
+
+
 def test_history_rewriting_is_found():
     turns = [("system", "be kind"), ("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d")]
     out, spans, rewritten = chat_format.locate(turns, chat_format.system_last)
@@ -190,7 +198,7 @@ def test_packing_is_valid_and_tight(sizes):
         else:
             gaps.remove(fit)
         gaps.append(fit - s)
-    assert used <= bins + max(1, bins // 20)
+    assert used == bins
 
 
 def test_ids_are_the_tokenizers(spark):
