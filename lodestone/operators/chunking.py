@@ -84,14 +84,15 @@ def lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 def without_boilerplate(docs: DataFrame, heading: str = r"^\s*(Chương|Điều|Mục)\s+[\dIVXLC]+", times: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with lines that a document has `times` times or more removed, unless they are headings (FIL14).
 
-    Counting and filtering stay inside each row, as arrays; nothing is shuffled.
+    Counting and filtering stay inside each row, as arrays; nothing is shuffled. A line that occurs often enough equals
+    the one times - 1 places on among the sorted lines. Texts without such a line are passed on as they are.
     """
-    parts = F.split(text, "\n", -1)
-    counted = docs.withColumn("_parts", parts).withColumn("_sorted", F.sort_array("_parts"))
-    n = lambda x: F.size(F.filter("_parts", lambda y: y == x))
-    often = F.filter(F.array_distinct("_parts"), lambda x: (n(x) >= times) & ~x.rlike(heading))
-    kept = F.filter("_parts", lambda x: ~F.array_contains("_often", x))
-    return counted.withColumn("_often", often).withColumn(text, F.array_join(kept, "\n")).drop("_parts", "_sorted", "_often")
+    sorted_ = docs.withColumn("_sorted", F.sort_array(F.split(text, "\n", -1)))
+    # Each array is named twice by what uses it: so it is computed once a row, not once an element.
+    again = F.filter("_sorted", lambda x, i: (x == F.get("_sorted", i + (times - 1))) & ~x.rlike(heading))
+    found = sorted_.withColumn("_often", F.when(F.size("_sorted") >= times, F.array_distinct(again)).otherwise(F.slice("_sorted", 1, 0)))
+    kept = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains("_often", x))
+    return found.withColumn(text, F.when(F.size("_often") > 0, F.array_join(kept, "\n")).otherwise(F.col(text))).drop("_sorted", "_often")
 
 
 def validated(df: DataFrame, least_text: int = 10) -> DataFrame:

@@ -56,10 +56,14 @@ def rules_fired(texts: DataFrame, rules: DataFrame, key: str, text: str) -> Data
     return fired.groupBy(key, "chunk_id").agg(F.min("ord").alias("ord"))
 
 
-def latest(df: DataFrame, keys: list[str], year: str) -> DataFrame:
-    """The row of the latest year per key (JN14): an aggregation, not a window, so it combines before the shuffle."""
+def latest(df: DataFrame, keys: list[str], year: str, order: list[str] | None = None) -> DataFrame:
+    """The row of the latest year per key, of several the first by `order` (by all columns if none is named) (JN14).
+
+    An aggregation, not a window, so it combines before the shuffle.
+    """
     rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), year).alias("_r"))
+    first = F.struct((-F.col(year)).alias("_y"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order or rest)])
+    best = df.filter(F.col(year).isNotNull()).groupBy(*keys).agg(F.min_by(F.struct(*rest), first).alias("_r"))
     return best.select(*keys, "_r.*")
 
 

@@ -120,24 +120,24 @@ def strip_and_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", bare.alias("text"), hidden.alias("redacted"))
 
 
-@query("""WITH s AS (SELECT 1 AS o, p_partkey % 60 AS k, p_name AS v FROM part WHERE p_partkey < 40 UNION ALL SELECT 2, p_partkey % 60, p_name FROM part WHERE p_partkey BETWEEN 100 AND 150 UNION ALL SELECT 3, p_partkey % 60, p_name FROM part WHERE p_partkey BETWEEN 200 AND 250)
+@query("""WITH s AS (SELECT 1 AS o, p_partkey // 3 AS k, p_name AS v FROM part WHERE p_partkey % 3 = 0 AND p_size > 25 UNION ALL SELECT 2, p_partkey // 3, p_name FROM part WHERE p_partkey % 3 = 1 AND p_size > 10 UNION ALL SELECT 3, p_partkey // 3, p_name FROM part WHERE p_partkey % 3 = 2)
 SELECT k, arg_min(v, (o, v)) AS v, CAST(min(o) AS INTEGER) AS source FROM s GROUP BY k""")
 def merge_first_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN19: a key's value from the first source that has it."""
     p = table(spark, sf_dir, "part")
-    part = lambda o, keep: p.filter(keep).select(F.lit(o).alias("o"), (F.col("p_partkey") % 60).alias("k"), F.col("p_name").alias("v"))
-    s = part(1, "p_partkey < 40").unionAll(part(2, "p_partkey BETWEEN 100 AND 150")).unionAll(part(3, "p_partkey BETWEEN 200 AND 250"))
+    part = lambda o, keep: p.filter(keep).select(F.lit(o).alias("o"), F.floor(F.col("p_partkey") / 3).alias("k"), F.col("p_name").alias("v"))
+    s = part(1, "p_partkey % 3 = 0 AND p_size > 25").unionAll(part(2, "p_partkey % 3 = 1 AND p_size > 10")).unionAll(part(3, "p_partkey % 3 = 2"))
     return s.groupBy("k").agg(F.min_by("v", F.struct("o", "v")).alias("v"), F.min("o").alias("source"))
 
 
-@query("""WITH g AS (SELECT vec_id AS id, [vec_id + 1, vec_id + 2, vec_id * 3 % 50] AS picked, list_transform(range(0, 60, 1 + vec_id % 2), lambda x: x + vec_id - vec_id % 50) AS pool FROM embeddings WHERE vec_id < 200)
+@query("""WITH g AS (SELECT vec_id AS id, [vec_id + 1, vec_id + 2, vec_id * 3 % 50] AS picked, list_transform(range(0, 60, 1 + vec_id % 2), lambda x: x + vec_id - vec_id % 50) AS pool FROM embeddings)
 SELECT id, len(list_filter(picked, lambda x: NOT list_contains(pool, x))) = 0 AS patched, list_has_any(picked, pool) AS overlap, list_sort(list_distinct(picked)) AS picked FROM g""")
 def gold_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN20, JN6, ST-I1, ST-U1: hand-picked ids count only if all of them were retrieved."""
     v = F.col("vec_id")
     picked = F.array(v + 1, v + 2, v * 3 % 50)
     pool = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(59).cast("long"), 1 + v % 2), lambda x: x + v - v % 50)
-    g = table(spark, sf_dir, "embeddings").filter("vec_id < 200").select(v.alias("id"), picked.alias("picked"), pool.alias("pool"))
+    g = table(spark, sf_dir, "embeddings").select(v.alias("id"), picked.alias("picked"), pool.alias("pool"))
     return g.select("id", (F.size(F.array_except("picked", "pool")) == 0).alias("patched"), F.arrays_overlap("picked", "pool").alias("overlap"), F.sort_array(F.array_distinct("picked")).alias("picked"))
 
 
@@ -224,14 +224,13 @@ def iso_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", (F.col("d").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.col("d").try_cast("date").isNotNull()).alias("ok"))
 
 
-@query("SELECT event_id, event_type IN ('view', 'signup') AND 2024 + event_id % 20 BETWEEN 2027 AND 2039 AS signal, max(CASE WHEN event_type IN ('view', 'signup') AND 2024 + event_id % 20 BETWEEN 2027 AND 2039 THEN 2024 + event_id % 20 END) OVER (ORDER BY ts, event_id) AS newest FROM events WHERE user_id < 10")
+@query("SELECT event_id, event_type IN ('view', 'signup') AND 2024 + event_id % 20 BETWEEN 2027 AND 2039 AS signal, max(CASE WHEN event_type IN ('view', 'signup') AND 2024 + event_id % 20 BETWEEN 2027 AND 2039 THEN 2024 + event_id % 20 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS newest FROM events")
 def new_cycle_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM8: a keyword and a later year open a cycle; the newest so far runs along, per user group (here one)."""
+    """STM8: a keyword and a later year open a cycle; the newest so far runs along, per user."""
     year = 2024 + F.col("event_id") % 20
     signal = F.col("event_type").isin("view", "signup") & year.between(2027, 2039)
-    w = Window.partitionBy(F.lit(1)).orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").filter("user_id < 10")
-    return e.select("event_id", signal.alias("signal"), F.max(F.when(signal, year)).over(w).alias("newest"))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, sf_dir, "events").select("event_id", signal.alias("signal"), F.max(F.when(signal, year)).over(w).alias("newest"))
 
 
 @query("""WITH m AS (SELECT p_partkey, [p_brand, CASE WHEN p_size > 25 THEN 'large' END, 's' || CAST(p_size AS VARCHAR)] AS v FROM part)

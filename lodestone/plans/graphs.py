@@ -155,23 +155,23 @@ def ppr_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.expand(baseline, ppr, 5).select("chunk_id", F.round("ppr", 9).alias("ppr"), "rank")
 
 
-@query(f"WITH {_CHUNKS}, b AS (SELECT 'c' || CAST(doc_id AS VARCHAR) AS chunk_id, n_chars / (SELECT max(n_chars) FROM documents WHERE doc_id < 120) AS score FROM documents WHERE doc_id < 120) SELECT chunk_id, round(0.6 * score + 0.4 * coalesce(ppr, 0), 6) AS fused FROM b LEFT JOIN ch USING (chunk_id)")
+@query(f"WITH {_CHUNKS}, b AS (SELECT 'c' || CAST(doc_id AS VARCHAR) AS chunk_id, n_chars / (SELECT max(n_chars) FROM documents) AS score FROM documents) SELECT chunk_id, round(0.6 * score + 0.4 * coalesce(ppr, 0), 6) AS fused FROM b LEFT JOIN ch USING (chunk_id)")
 def graph_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN3, FUS1: base scores over their maximum, fused with graph scores."""
     n, x = _ppr(spark, sf_dir)
     ppr = graph.chunk_scores(x, n).select(F.lit(1).alias("qid"), F.col("chunk_id").alias("doc_id"), "ppr")
-    docs = table(spark, sf_dir, "documents").filter("doc_id < 120")
+    docs = table(spark, sf_dir, "documents")
     base = docs.select(F.lit(1).alias("qid"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("doc_id"), F.col("n_chars").cast("double").alias("score"))
     base = base.withColumn("score", fusion.max_normalised("score"))
     return fusion.graph_fused(base, ppr).select(F.col("doc_id").alias("chunk_id"), F.round("fused", 6).alias("fused"))
 
 
-@query("""WITH s AS (SELECT c_custkey % 20 AS qid, CASE WHEN c_custkey % 3 = 0 THEN 'NATION:' ELSE 'OTHER:' END || CAST(c_nationkey % (1 + c_custkey % 20) AS VARCHAR) AS node_id FROM customer WHERE c_custkey < 150),
+@query("""WITH s AS (SELECT c_custkey % 20 AS qid, CASE WHEN c_custkey % 3 = 0 THEN 'NATION:' ELSE 'OTHER:' END || CAST(c_nationkey % (1 + c_custkey % 20) AS VARCHAR) AS node_id FROM customer),
 n AS (SELECT qid, count(DISTINCT node_id) FILTER (split_part(node_id, ':', 1) IN ('NATION', 'REGION')) AS n FROM s GROUP BY qid)
 SELECT qid, CAST(CASE WHEN n >= 2 THEN 8 ELSE 5 END AS INTEGER) AS m, CAST(CASE WHEN n >= 2 THEN 8 ELSE 5 END AS INTEGER) AS k FROM n""")
 def comparison_widen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN3."""
-    c = table(spark, sf_dir, "customer").filter("c_custkey < 150")
+    c = table(spark, sf_dir, "customer")
     kind = F.when(F.col("c_custkey") % 3 == 0, "NATION:").otherwise("OTHER:")
     seeds = c.select((F.col("c_custkey") % 20).alias("qid"), F.concat(kind, (F.col("c_nationkey") % (1 + F.col("c_custkey") % 20)).cast("string")).alias("node_id"))
     return graph.widened(seeds, 5, 5, KINDS)

@@ -12,12 +12,13 @@ from lodestone.plans.registry import query, table
 ASKED = [(1, "the and of the"), (2, "idiot trash"), (3, "was with that for")]
 
 
-def _queries(spark: SparkSession, sf_dir: str, step: int, below: int) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").filter((F.col("vec_id") % step == 0) & (F.col("vec_id") < below)).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set of all searches: every row whose id is divisible by 50."""
+    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"))
 
 
-def dense(spark: SparkSession, sf_dir: str, k: int, step: int = 100, below: int = 500, metric: str = "cosine") -> DataFrame:
-    return knn.nearest(_queries(spark, sf_dir, step, below), table(spark, sf_dir, "embeddings"), k, metric)
+def dense(spark: SparkSession, sf_dir: str, k: int, metric: str = "cosine") -> DataFrame:
+    return knn.nearest(_queries(spark, sf_dir), table(spark, sf_dir, "embeddings"), k, metric)
 
 
 def sparse(spark: SparkSession, sf_dir: str, k: int, legacy: bool = False) -> DataFrame:
@@ -31,7 +32,7 @@ _DENSE = f"""
 v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 d AS (
   SELECT a.vec_id AS qid, b.vec_id, {_COS} AS score, list_inner_product(a.v, a.v) + list_inner_product(b.v, b.v) - 2 * list_inner_product(a.v, b.v) AS dist
-  FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id < 500),
+  FROM v a, v b WHERE a.vec_id % 50 = 0),
 dr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM d)
 """
 _TOKENS = r"list_filter(regexp_split_to_array(lower({}), '\s+'), lambda w: w <> '')"
@@ -52,10 +53,10 @@ br AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DE
 """
 
 
-@query(f"WITH {_DENSE} SELECT qid, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM dr WHERE qid = 0 AND rank <= 10")
+@query(f"WITH {_DENSE} SELECT qid, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM dr WHERE rank <= 10")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """KNN1, TK1, SRC11: the ten nearest vectors of one."""
-    return dense(spark, sf_dir, 10, 500, 1).select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
+    """KNN1, TK1, SRC11: the ten nearest vectors."""
+    return dense(spark, sf_dir, 10).select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {_DENSE} SELECT qid, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM dr WHERE rank <= 5")
@@ -77,7 +78,7 @@ SELECT qid, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM
 def dense_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC11, TK2: the filter runs in the scan, before the search, so nothing is over-fetched."""
     kept = table(spark, sf_dir, "embeddings").filter(F.col("label").isin(1, 3))
-    return knn.nearest(_queries(spark, sf_dir, 100, 500), kept, 5).select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return knn.nearest(_queries(spark, sf_dir), kept, 5).select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {_BM25} SELECT qid, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM br WHERE rank <= 10")
@@ -93,45 +94,47 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 6).alias("mean_idf"), "terms")
 
 
-@query(rf"""WITH w AS (SELECT doc_id, list_filter({_TOKENS.format("text")}, lambda w: len(w) > 2) AS ws FROM documents)
+@query(rf"""WITH w AS (SELECT doc_id, list_filter({_TOKENS.format("text")}, lambda w: len(w) > 2 AND w NOT IN ('và', 'các', 'của', 'có', 'được', 'cho', 'trong', 'là', 'một', 'này', 'để', 'với', 'theo', 'từ', 'đã', 'sẽ', 'không', 'khi', 'bằng', 'the', 'a', 'an', 'is', 'are')) AS ws FROM documents)
 SELECT doc_id, CAST(len(ws) AS INTEGER) AS n_tokens, CAST(len(list_distinct(ws)) AS INTEGER) AS n_terms FROM w""")
 def bm25_legacy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM3: the older tokenizer (its stop words are Vietnamese and don't occur here)."""
+    """BM3: the older tokenizer."""
     w = table(spark, sf_dir, "documents").select("doc_id", bm25.long_tokens("text").alias("ws"))
     return w.select("doc_id", F.size("ws").alias("n_tokens"), F.size(F.array_distinct("ws")).alias("n_terms"))
 
 
 _HYBRID = f"""WITH {_DENSE}, {_BM25},
-one AS (SELECT vec_id AS doc_id, rank FROM dr WHERE qid = 100 AND rank <= 20),
-two AS (SELECT doc_id, rank FROM br WHERE qid = 1 AND rank <= 20),
-f AS (SELECT coalesce(one.doc_id, two.doc_id) AS doc_id, coalesce({{0}} / (60 + one.rank), 0) + coalesce({{1}} / (60 + two.rank), 0) AS score FROM one FULL JOIN two USING (doc_id)),
-fr AS (SELECT doc_id, score, row_number() OVER (ORDER BY round(score, 12) DESC, doc_id) AS rank FROM f)
+one AS (SELECT qid, vec_id AS doc_id, rank FROM dr WHERE rank <= 20),
+two AS (SELECT o.qid, b.doc_id, b.rank FROM (SELECT DISTINCT qid FROM one) o JOIN br b ON b.qid = 1 + o.qid // 50 % 3 WHERE b.rank <= 20),
+f AS (SELECT qid, doc_id, coalesce({{0}} / (60 + one.rank), 0) + coalesce({{1}} / (60 + two.rank), 0) AS score FROM one FULL JOIN two USING (qid, doc_id)),
+fr AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, doc_id) AS rank FROM f)
 """
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, w_dense: float, w_sparse: float) -> DataFrame:
-    one = dense(spark, sf_dir, 20).filter("qid = 100").select(F.lit(1).alias("qid"), F.col("vec_id").alias("doc_id"), "rank")
-    two = sparse(spark, sf_dir, 20).filter("qid = 1").select(F.lit(1).alias("qid"), "doc_id", "rank")
+    one = dense(spark, sf_dir, 20).select("qid", F.col("vec_id").alias("doc_id"), "rank")
+    # Each vector goes with one of the asked texts.
+    asked = _queries(spark, sf_dir).select("qid", (1 + F.floor(F.col("qid") / 50) % 3).alias("t"))
+    two = sparse(spark, sf_dir, 20).withColumnRenamed("qid", "t").join(asked, "t").select("qid", "doc_id", "rank")
     fused = fusion.rrf([(one, w_dense), (two, w_sparse)])
     return fusion.ranked(fused.withColumn("_s", F.round("score", 12)), "_s").drop("_s")
 
 
-@query(_HYBRID.format("0.6", "0.4") + "SELECT doc_id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM fr WHERE rank <= 10")
+@query(_HYBRID.format("0.6", "0.4") + "SELECT qid, doc_id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM fr WHERE rank <= 10")
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RRF1, JN2, WN1, TK3: dense and BM25 ranks fused."""
-    return _hybrid(spark, sf_dir, 0.6, 0.4).filter("rank <= 10").select("doc_id", F.round("score", 9).alias("score"), "rank")
+    return _hybrid(spark, sf_dir, 0.6, 0.4).filter("rank <= 10").select("qid", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
-@query(_HYBRID.format("1.0", "0.0") + "SELECT doc_id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM fr WHERE rank <= 10")
+@query(_HYBRID.format("1.0", "0.0") + "SELECT qid, doc_id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM fr WHERE rank <= 10")
 def rrf_dense_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RRF1 with all weight on one list gives that list's order."""
-    return _hybrid(spark, sf_dir, 1.0, 0.0).filter("rank <= 10").select("doc_id", F.round("score", 9).alias("score"), "rank")
+    return _hybrid(spark, sf_dir, 1.0, 0.0).filter("rank <= 10").select("qid", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
-@query(_HYBRID.format("0.6", "0.4") + "SELECT round(avg(score), 9) AS confidence, count(*) AS n FROM fr WHERE rank <= 10")
+@query(_HYBRID.format("0.6", "0.4") + "SELECT qid, round(avg(score), 9) AS confidence, count(*) AS n FROM fr WHERE rank <= 10 GROUP BY qid")
 def hybrid_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG40."""
-    return _hybrid(spark, sf_dir, 0.6, 0.4).filter("rank <= 10").agg(F.round(F.avg("score"), 9).alias("confidence"), F.count(F.lit(1)).alias("n"))
+    return _hybrid(spark, sf_dir, 0.6, 0.4).filter("rank <= 10").groupBy("qid").agg(F.round(F.avg("score"), 9).alias("confidence"), F.count(F.lit(1)).alias("n"))
 
 
 _TOP = f"WITH {_DENSE}, t AS (SELECT qid, vec_id AS doc_id, score, CAST(rank AS INTEGER) AS rank FROM dr WHERE rank <= 12)"
@@ -165,7 +168,7 @@ def rerank_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.cutoff(_top(spark, sf_dir), 0.35, 4, F.col("doc_id") % 10 == 3).select("qid", "doc_id", "place")
 
 
-@query(_TOP + ", c AS (SELECT * FROM t WHERE rank <= qid // 100 + 1) SELECT qid, round(sum(score * CASE WHEN qid = 0 THEN 1 WHEN qid = 100 THEN [0.7, 0.3][rank] ELSE [0.5, 0.3, 0.2][rank] END), 6) AS confidence FROM c WHERE rank <= 3 GROUP BY qid")
+@query(_TOP + ", c AS (SELECT * FROM t WHERE rank <= qid // 100 + 1) SELECT qid, round(sum(score * CASE WHEN qid < 100 THEN 1 WHEN qid < 200 THEN [0.7, 0.3][rank] ELSE [0.5, 0.3, 0.2][rank] END), 6) AS confidence FROM c WHERE rank <= 3 GROUP BY qid")
 def confidence_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG38, on one, two, three and more results."""
     c = fusion.confidence_top3(_top(spark, sf_dir).filter(F.col("rank") <= F.floor(F.col("qid") / 100) + 1))

@@ -109,10 +109,18 @@ def answer_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("conv_id", "turn", F.length("t").cast("long").alias("n"), F.md5(F.col("t").cast("binary")).alias("digest"))
 
 
-@query()
+@query("""SELECT page_id, u.row_no, CASE u.row_no WHEN 1 THEN [CAST(page_id AS VARCHAR) || ' ' || CAST(length(url) AS VARCHAR), url || ' 7,5'] ELSE ['a b', 'x 16'] END AS cells
+FROM pages, (VALUES (CAST(1 AS INTEGER)), (CAST(2 AS INTEGER))) AS u(row_no)""")
 def html_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC8, TF6."""
-    return html.table_rows(table(spark, sf_dir, "pages"))
+    """SRC8, TF6: rows of a score table put in front of each page; breaks and paragraphs separate words of a cell."""
+    cell = lambda *parts: F.concat(F.lit("<td>"), *parts, F.lit("</td>"))
+    own = F.concat(
+        F.lit("<table><thead><tr><th>Name</th></tr></thead><tr>"),
+        cell(F.col("page_id").cast("string"), F.lit("<br>"), F.length("url").cast("string")),
+        cell(F.lit("<p>"), F.col("url"), F.lit("</p><p> 7,5 </p>")),
+        F.lit("</tr><tr><td>a<b>b</b></td><td>x<span>16</span></td></tr></table>"),
+    )
+    return html.table_rows(table(spark, sf_dir, "pages").select("page_id", F.concat(own, "html").alias("html")))
 
 
 @query()

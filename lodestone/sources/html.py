@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+# Tags that separate words inside a cell.
+APART = ("p", "br", "div", "strong", "em", "b", "i", "span")
+
+
 class _Rows(HTMLParser):
     """Cells of table rows, white space collapsed, and the text outside scripts and styles."""
 
@@ -27,6 +31,8 @@ class _Rows(HTMLParser):
             self.cells = []
         elif tag in ("td", "th") and self.cells is not None:
             self.cell = []
+        elif tag in APART and self.cell is not None:
+            self.cell.append(" ")
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style"):
@@ -39,11 +45,10 @@ class _Rows(HTMLParser):
             self.cells = None
 
     def handle_data(self, data: str) -> None:
-        if self.hidden:
-            return
-        self.text.append(data)
         if self.cell is not None:
             self.cell.append(data)
+        if not self.hidden:
+            self.text.append(data)
 
 
 def _parse(html: str | None) -> _Rows:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import unicodedata
+
 import math
 
 import pytest
@@ -30,8 +33,9 @@ def test_percentiles(spark):
     assert one(v.agg(metrics.percentile("v", 0.5).alias("p")), "p") == 3.0
     assert one(v.filter("v > 9").agg(metrics.percentile("v", 0.5).alias("p")), "p") == 0.0
     t = spark.createDataFrame([(x,) for x in (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.95, 1.0)], "v double")
-    r = t.agg(metrics.lower_index("v", None).alias("m"), metrics.lower_index("v", 0.95).alias("p")).first()
-    assert (r.m, r.p) == (0.5, 0.95)
+    places = {"m": lambda n: F.floor((n - 1) / 2), "p": lambda n: F.floor((n - 1) * 0.95)}
+    both = t.withColumn("g", F.lit("x")).unionAll(t.limit(0).withColumn("g", F.lit("y"))).unionAll(spark.createDataFrame([(None, "z"), (3.0, None), (3.0, None)], "v double, g string"))
+    assert {r.g: (r.m, r.p) for r in metrics.order_stats(both, "g", "v", places).collect()} == {"x": (0.5, 0.95), None: (3.0, 3.0)}
 
 
 @pytest.mark.parametrize(("s", "n", "low", "verdict"), [(7, 7, 0.646, "informational"), (30, 30, 0.886, "pass"), (29, 30, 0.833, "fail"), (0, 30, 0.0, "fail"), (15, 20, 0.531, "informational"), (0, 0, 0.0, "informational")])
@@ -195,4 +199,30 @@ def test_rate_limit():
 def test_latest_and_first(spark):
     df = spark.createDataFrame([("a", 2024, 1.0), ("a", 2025, 2.0), ("b", 2023, 3.0)], "k string, y int, v double")
     assert {r.k: r.v for r in filters.latest(df, ["k"], "y").collect()} == {"a": 2.0, "b": 3.0}
+    tied = df.unionAll(spark.createDataFrame([("a", 2025, 0.5), ("a", None, 9.0)], df.schema))
+    assert {r.k: r.v for r in filters.latest(tied, ["k"], "y").collect()} == {"a": 0.5, "b": 3.0}
     assert {r.k: r.v for r in filters.first_wins(df, ["k"], ["y"]).collect()} == {"a": 1.0, "b": 3.0}
+
+
+def test_vietnamese_rules(spark):
+    df = spark.createDataFrame([("Điểm chuẩn NGÀNH  tuyển sinh?",), ("đối chiếu học phí",), ("0912345678901234567",), ("gọi 0912 345 678 nhé",), (None,)], "t string")
+    r = df.select(T.fold("t").alias("fold"), T.unaccent("t").alias("flat"), T.normal_answer("t").alias("answer"), T.sparse_terms(F.col("t")).alias("terms"), T.temporal_intent(F.col("t"), 2026).alias("intent"), T.has_pii(F.col("t")).alias("pii")).collect()
+    assert r[0].fold == "điem chuan nganh  tuyen sinh?" and r[0].flat == "diểm chuẩn nganh  tuyển sinh?"
+    assert r[0].answer == unicodedata.normalize("NFKD", "điểm chuẩn ngành tuyển sinh") and r[0].terms == ["điểm", "chuẩn", "ngành", "tuyển", "sinh"]
+    assert (r[1].intent, r[0].intent) == ("cross_year", "ambiguous") and [x.pii for x in r] == [False, False, False, True, None]
+    assert r[4].fold is None and T.sparse_terms(F.lit("a"), most=50) is not None
+
+
+def test_cells_keep_their_words_apart(spark):
+    pages = spark.createDataFrame([(1, "<table><tr><td>15<br>16</td><td>a<b>b</b></td><td>x</td></tr><tr><th>no digit</th></tr></table>"), (2, None)], "page_id long, html string")
+    assert [r.cells for r in html.table_rows(pages).collect()] == [["15 16", "a b", "x"]]
+
+
+def test_boilerplate_of_a_long_text(spark):
+    text = "\n".join(["Chương 1", "page footer", *(f"line {i % 9000}" for i in range(20_000))] * 1 + ["page footer"] * 5 + ["Chương 1"] * 4)
+    df = spark.createDataFrame([(1, text), (2, "a\nb"), (3, None), (4, "")], "doc_id int, text string")
+    began = time.monotonic()
+    got = {r.doc_id: r.text for r in chunking.without_boilerplate(df).collect()}
+    assert time.monotonic() - began < 30
+    often = {f"line {i}" for i in range(2000)} | {"page footer"}
+    assert got == {1: "\n".join(x for x in text.split("\n") if x not in often), 2: "a\nb", 3: None, 4: ""}
