@@ -2,7 +2,8 @@
 
 Distinct vectors are dealt into shards of bounded size by hash. Each shard's graph is built by inserting vectors in
 batches that search the graph so far in step with each other, and is kept as flat neighbour arrays in a one-row payload.
-Queries visit every shard, in blocks, and the shards' results are merged.
+Queries visit every shard: a shard's payload is sent to one task, once, and all queries stream past it; the shards'
+results are merged. So what is moved is the index once and each query once a shard.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import drop_staged, pick, staged
 
-#: Queries that search in step, and that one task takes.
+#: Queries that search in step.
 STEP = 512
-BLOCK = 4096
+#: Bytes of vectors, as float64, that a shard holds at most.
+SHARD_BYTES = 1 << 28
 
 
 class Graph:
@@ -200,7 +202,8 @@ def build_index(vectors: DataFrame, members: int, shard_rows: int = 8192, links:
     fewest = lambda c: F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))), 1, members)
     salted = part.groupBy("vec", F.pmod(F.xxhash64("ids"), F.lit(64)).alias("salt")).agg(fewest("ids").alias("ids"))
     distinct = staged(salted.groupBy("vec").agg(fewest("ids").alias("ids")), "vectors")
-    shards = max(1, -(-distinct.count() // shard_rows))
+    n, longest = distinct.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    shards = max(1, -(-n // max(1, min(shard_rows, SHARD_BYTES // (8 * (longest or 1))))))
     dealt = distinct.select(F.size("vec").alias("dim"), F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int").alias("shard"), "vec", "ids")
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
@@ -216,6 +219,29 @@ def build_index(vectors: DataFrame, members: int, shard_rows: int = 8192, links:
     return index
 
 
+class _Shard:
+    """A shard's payload, unpacked."""
+
+    def __init__(self, ids: bytes, sizes: bytes, vectors: bytes, graph: bytes) -> None:
+        self.sizes, self.ids = np.frombuffer(sizes, np.int64), np.frombuffer(ids, np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.v = np.frombuffer(vectors).reshape(len(self.sizes), -1)
+        self.graph = Graph.unpack(graph)
+
+
+def _found(shard: _Shard, own: np.ndarray, vectors: pa.Array, k: int, ef: int) -> pa.RecordBatch:
+    """The k nearest of a shard for each of some queries, scored on the original vectors."""
+    asked, out = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1), []
+    for i, nodes in enumerate(shard.graph.search(asked, 2 * k + 2, ef)):
+        nodes = nodes[nodes >= 0]
+        score = shard.v[nodes] @ asked[i] / (np.linalg.norm(shard.v[nodes], axis=1) * np.linalg.norm(asked[i]))
+        hit = sorted((-s, x) for s, n in zip(score.tolist(), nodes, strict=True) for x in shard.ids[shard.first[n] : shard.first[n] + shard.sizes[n]].tolist() if x != own[i])
+        out += [(own[i], x, -s) for s, x in hit[:k]]
+    columns = list(zip(*out, strict=True)) or [()] * 3
+    kinds = (pa.int64(), pa.int64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "vec_id", "score"])
+
+
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 5, ef: int = 160, shard_rows: int = 8192, links: int = 16, width: int = 64,
     vec_id: str = "vec_id", embedding: str = "embedding",
@@ -233,30 +259,27 @@ def nearest(
     index = build_index(vectors, k + 1, shard_rows, links, width, vec_id, embedding)
     asked = pick(queries, query_id=vec_id, vec=embedding).filter(usable("vec") & F.col("query_id").isNotNull())
     asked = asked.select(F.col("query_id").cast("long"), F.col("vec").cast("array<double>"), F.size("vec").alias("dim")).distinct()
-    blocks = max(1, -(-asked.count() // BLOCK))
     where = index.select(F.col("dim").alias("_dim"), F.col("shard").alias("_shard"))
-    left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).join(where, F.col("dim") == F.col("_dim"))
-    left = left.select("query_id", "vec", F.col("_dim").alias("dim"), F.col("_shard").alias("shard"), "block")
-    right = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = asked.join(where, F.col("dim") == F.col("_dim")).select(F.col("_dim").alias("dim"), F.col("_shard").alias("shard"), "query_id", "vec")
+    payload = ["ids", "sizes", "vectors", "graph"]
+    left = sent.select("dim", "shard", F.lit(1).alias("kind"), "query_id", "vec", *[F.lit(None).cast("binary").alias(c) for c in payload])
+    right = index.select("dim", "shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("array<double>").alias("vec"), *payload)
+    dealt = right.unionAll(left).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind")
 
-    def search(q: pd.DataFrame, ix: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(ix):
-            row = ix.iloc[0]
-            sizes, ids = np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["ids"], np.int64)
-            first = np.cumsum(sizes) - sizes
-            v = np.frombuffer(row["vectors"]).reshape(len(sizes), -1)
-            asked_v, own = np.stack(q["vec"].to_numpy()), q["query_id"].to_numpy()
-            found = Graph.unpack(row["graph"]).search(asked_v, 2 * k + 2, ef)
-            for i, nodes in enumerate(found):
-                nodes = nodes[nodes >= 0]
-                score = v[nodes] @ asked_v[i] / (np.linalg.norm(v[nodes], axis=1) * np.linalg.norm(asked_v[i]))
-                hit = sorted((-s, x) for s, n in zip(score.tolist(), nodes, strict=True) for x in ids[first[n] : first[n] + sizes[n]].tolist() if x != own[i])
-                out += [(own[i], x, -s) for s, x in hit[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    keys = ["dim", "shard", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
+        for batch in batches:
+            at = 0
+            kinds = batch.column(2).to_numpy(zero_copy_only=False)
+            for stop in [*np.flatnonzero(kinds == 0), len(kinds)]:
+                for low in range(at, stop, STEP):
+                    part = batch.slice(low, min(STEP, stop - low))
+                    yield _found(shard, part.column(3).to_numpy(zero_copy_only=False), part.column(4), k, ef)
+                if stop < len(kinds):
+                    shard = _Shard(*(batch.column(5 + c)[int(stop)].as_py() for c in range(4)))
+                at = stop + 1
+
+    found = dealt.mapInArrow(search, "query_id long, vec_id long, score double")
     # Of several query rows with one id, each candidate counts once, by the nearest of them.
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
