@@ -97,6 +97,16 @@ def test_repeats_within_a_text_and_repeated_rows(spark):
     assert substring_dedup.dedup_spans(docs(spark, []), 2, 15).isEmpty()
 
 
+def test_passages_inside_long_sentences(spark):
+    span = " ".join(f"p{i}" for i in range(60))
+    whole = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, "own words stand before " + span + " and some other ones after it"), (2, "quite another start of this text " + span + " and its own end"), (3, whole), (4, whole), (5, "short text"), (6, "short text"), (7, " ".join(f"u{i}" for i in range(22))), (8, " ".join(f"u{i}" for i in range(22)))]
+    r = {x.doc_id: x.text for x in substring_dedup.dedup_spans(docs(spark, rows)).collect()}
+    assert all(r[i] == t for i, t in rows if i in (1, 3, 5, 6, 7))
+    left = [w for w in r[2].split() if w.startswith("p")]
+    assert len(left) < 35 and r[2].startswith("quite another start") and r[2].endswith("its own end") and r[4] == "" and r[8] == ""
+
+
 # --- op 3
 
 
