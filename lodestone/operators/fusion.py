@@ -93,3 +93,28 @@ def inject(base: DataFrame, extra: DataFrame, most: int, qid: str = "qid", item:
     new = new.withColumn("_n", F.row_number().over(Window.partitionBy(qid).orderBy("ord", item))).filter(F.col("_n") <= most)
     both = new.select(qid, item, F.lit(True).alias("injected"), F.col("_n").alias("_r")).unionByName(base.select(qid, item, F.lit(False).alias("injected"), F.col("rank").alias("_r")))
     return both.withColumn("place", F.row_number().over(Window.partitionBy(qid).orderBy(F.desc("injected"), "_r"))).drop("_r")
+
+
+def dispatch(base: DataFrame, ppr: DataFrame, routes: DataFrame, k: int, more: dict[str, int] | None = None, alpha: float = 0.6, beta: float = 0.4, qid: str = "qid", item: str = "doc_id") -> DataFrame:
+    """qid, item, injected, fused, place: the k best results of each query by its route (RTE1).
+
+    base: qid, item, score; ppr: qid, item, ppr; routes: qid, route. A route in `more` takes so many graph results that
+    the base lacks into the pool and fuses (FUS1, JN3); any other route, such as `padded`, keeps the base's order.
+    """
+    most = F.lit(0)
+    for name, m in (more or {"hybrid": 5, "graph": 8}).items():
+        most = F.when(F.col("route") == name, m).otherwise(most)
+    routed = routes.select(qid, most.alias("_m"))
+    new = ppr.join(base.select(qid, item), [qid, item], "left_anti").join(routed.filter("_m > 0"), qid)
+    new = new.withColumn("_r", F.row_number().over(Window.partitionBy(qid).orderBy(F.desc("ppr"), item))).filter("_r <= _m")
+    pool = new.select(qid, item, F.lit(0.0).alias("score"), F.lit(True).alias("injected")).unionByName(base.select(qid, item, "score", F.lit(False).alias("injected")))
+    normal = pool.withColumn("_n", max_normalised("score", qid)).join(ppr.select(qid, item, "ppr"), [qid, item], "left").join(routed, qid)
+    fused = F.when(F.col("_m") > 0, alpha * F.col("_n") + beta * F.coalesce("ppr", F.lit(0.0))).otherwise(F.col("score"))
+    out = normal.withColumn("fused", fused)
+    place = F.row_number().over(Window.partitionBy(qid).orderBy(F.desc(F.round("fused", 12)), item))
+    return out.withColumn("place", place).filter(F.col("place") <= k).select(qid, item, "injected", "fused", "place")
+
+
+def program_limit(df: DataFrame, programme: bool, rank: str = "rank") -> DataFrame:
+    """At most fifteen results for a question about programmes, else thirty (TK7)."""
+    return df.filter(F.col(rank) <= (15 if programme else 30))
