@@ -1,4 +1,4 @@
-"""Scalar text functions as Column expressions (FN1-FN32); patterns are fixed values unless a parameter."""
+"""Scalar text functions as Column expressions; patterns are fixed values unless a parameter."""
 
 from __future__ import annotations
 
