@@ -1,4 +1,4 @@
-"""Metadata and time-aware filters, fallbacks and re-scoring (FIL1-FIL12, JN10, JN14, WN8, SNK3, SNK12)."""
+"""Metadata and time-aware filters, fallbacks and re-scoring (FIL1-FIL7, FIL9, FIL10, FIL12, JN10, JN14, WN8, SNK3, SNK12)."""
 
 from __future__ import annotations
 
