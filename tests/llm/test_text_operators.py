@@ -148,6 +148,19 @@ def test_large_groups_of_copies(spark):
     assert got[(0, 0)] == (300, True) and sum(got[(i, 0)][1] for i in range(301)) == 1
 
 
+def test_long_similar_lines_with_few_signs_in_common(spark):
+    """Sets around the sizes where signatures change, with as many words exchanged as 0.8 allows, and one more; rows repeat."""
+    rows = []
+    for n in (50, 63, 64, 70, 90, 127, 128, 150, 255, 256, 300):
+        words = [f"t{n}_{i}" for i in range(n)]
+        for k, changed in enumerate((0, n // 9, n // 9 + 1, n // 10)):
+            rows.append((len(rows), " ".join([*(f"c{n}_{k}_{i}" for i in range(changed)), *words[changed:]])))
+    got = line_dedup.dedup_lines(docs(spark, [*rows, *rows[:6], *rows[:6]])).collect()
+    assert len(got) == len(rows) + 12
+    assert {(r.doc_id, r.line_no): (r.n_links, r.kept) for r in got} == brute_lines(rows)
+    assert sum(not x[1] for x in brute_lines(rows).values()) > 11
+
+
 def test_rarities_are_no_column(spark, sf_dir, monkeypatch):
     """The table of rarities stays a constant of one expression: as a column, each line would hold it."""
     plans, write = {}, line_dedup.staged
