@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +29,16 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosin
     metric: `cosine`, dot over norms with 1e-8 added to each; `l2`, 1 / (1 + squared distance). Each batch of vectors
     is multiplied with a block of queries and keeps its k best, so that only k rows per query and batch are shuffled.
     Queries of another length than the vectors, null or empty ones find nothing (KNN3). Queries go out in blocks of
-    BLOCK, so their number isn't bounded by what one broadcast may hold.
+    BLOCK, each broadcast while the next one is read, so neither the driver nor a broadcast holds more than one block's list.
     """
     if metric not in ("cosine", "l2"):
         raise ValueError(metric)
     spark = vectors.sparkSession
     rows = vectors.filter(F.col(vec).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("vec"))
     parts = []
-    asked = [(r[0], r[1]) for r in queries.select(qid, F.col(qvec).cast("array<double>")).toLocalIterator() if r[1]]
-    for i in range(0, len(asked), BLOCK):
-        sent = spark.sparkContext.broadcast(asked[i : i + BLOCK])
+    asked = ((r[0], r[1]) for r in queries.select(qid, F.col(qvec).cast("array<double>")).toLocalIterator() if r[1])
+    while block := list(islice(asked, BLOCK)):
+        sent = spark.sparkContext.broadcast(block)
         parts.append(rows.mapInArrow(_score(sent, k, metric), "qid long, vec_id long, score double"))
     if not parts:
         return spark.createDataFrame([], "qid long, vec_id long, score double, rank int")
@@ -48,6 +49,13 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosin
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores, best first, ties to the smaller id; only those no worse than the k-th are sorted."""
+    known = np.nan_to_num(scores, nan=-np.inf)
+    at = np.flatnonzero(known >= np.partition(known, -k)[-k]) if len(known) > k else np.arange(len(known))
+    return at[np.lexsort((ids[at], -known[at]))[:k]]
+
+
 def _score(sent, k: int, metric: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_size: dict[int, list] = {}
@@ -68,7 +76,7 @@ def _score(sent, k: int, metric: str):
                 else:
                     s = 1 / (1 + np.maximum((q**2).sum(1)[:, None] + (v**2).sum(1)[None] - 2 * q @ v.T, 0))
                 for (qid, _), row in zip(asked, s, strict=True):
-                    top = np.lexsort((ids[here], -row))[:k]
+                    top = _best(row, ids[here], k)
                     out += zip([qid] * len(top), ids[here[top]].tolist(), row[top].tolist(), strict=True)
             cols = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["qid", "vec_id", "score"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,21 +23,36 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     )
 
 
+def shared_top(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a temporary folder, removed when Python ends; a cluster gets an error,
+    since a folder of the driver's machine would give its executors missing files.
+    """
+    context = spark.sparkContext
+    if named := context.getConf().get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if (own := getattr(shared_top, "own", None)) is None:
+        own = shared_top.own = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return own
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the folder that the cluster names; a temporary one where none is (tests)."""
+    """df with its lineage cut by a checkpoint in the folder that the cluster names."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-"))
+        context.setCheckpointDir(shared_top(df.sparkSession))
     return df.checkpoint()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; in a temporary one where none is named (tests)."""
+    """A new path in the folder that driver and executors share."""
     import uuid
 
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_top(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def importable(spark: SparkSession) -> None:

@@ -21,17 +21,17 @@ def read(spark: SparkSession, folder: str, table: str, schema) -> DataFrame:
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """What a stream gives for all that is there now, as a table: Parquet for appended rows, in memory for small
-    complete results."""
+    """What a stream gives for all that is there now, as a table in Parquet: rows appended, or, in complete mode, each
+    batch's whole result in place of the one before. Executors write it; nothing goes to the driver."""
     spark = stream.sparkSession
     to = stream.writeStream.outputMode(mode).option("checkpointLocation", shared_path(spark, f"{name}-state")).trigger(availableNow=True)
+    path = shared_path(spark, name)
     if mode == "append":
-        path = shared_path(spark, name)
         to.format("parquet").option("path", path).start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(path)
-    query = to.format("memory").queryName(name.replace("-", "_")).start()
-    query.awaitTermination()
-    return spark.table(name.replace("-", "_"))
+    else:
+        spark.createDataFrame([], stream.schema).write.parquet(path)
+        to.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def windowed(events: DataFrame, width: str, step: str | None = None, late: str = "1 hour", ts: str = "ts", key: str = "event_type", value: str = "value") -> DataFrame:
