@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.session import importable
+from lodestone.session import importable, shared_top
 
 _WRITTEN: list = []
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -44,14 +43,8 @@ def numbered_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    conf = spark.sparkContext.getConf()
-    if not (top := conf.get("spark.checkpoint.dir", None)):
-        top = getattr(shared_dir, "own", None)
-        if top is None:
-            top = shared_dir.own = tempfile.mkdtemp(prefix="lodestone-")
-            spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/lodestone-{spark.sparkContext.applicationId}"
+    """This application's folder in the one that driver and executors share."""
+    return f"{shared_top(spark)}/lodestone-{spark.sparkContext.applicationId}"
 
 
 @contextlib.contextmanager
@@ -68,7 +61,7 @@ def _files_freed(spark: SparkSession):
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet into the shared folder and read back: lineage ends here, and lost executors cost nothing.
 
-    The table lives until the application ends, or until drop_staged().
+    The table lives until Python ends, or until drop_staged().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -90,16 +83,19 @@ def drop_staged(*tables: DataFrame) -> None:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
     where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    # A stopped session has no settings any more, but its JVM can still delete.
+    conf = jvm.org.apache.hadoop.conf.Configuration() if context is None else context.hadoopConfiguration()
+    where.getFileSystem(conf).delete(where, True)
     _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
 
 
 @atexit.register
 def _clean() -> None:
+    # What fails here, such as a JVM that has ended, must not turn a finished program into a failed one.
     for spark, path in list(_WRITTEN):
-        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        with contextlib.suppress(Exception):
             _remove(spark, path)
 
 
