@@ -70,3 +70,31 @@ def test_dispatch(spark):
     assert [(r.doc_id, r.injected) for r in got if r.qid == 1] == [(10, False), (11, False), (12, False)]
     assert [(r.doc_id, r.injected, round(r.fused, 6)) for r in got if r.qid == 2] == [(10, False, 0.6), (12, False, 0.55), (20, True, 0.36)]
     assert [r.doc_id for r in got if r.qid == 3] == [10, 12, 20]
+
+
+def test_the_k_best_are_those_of_a_full_sort():
+    import numpy as np
+
+    from lodestone.operators.knn import _best
+
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 6, 200):
+        scores, ids = rng.integers(0, 4, n) / 4, rng.permutation(n)
+        assert _best(scores, ids, 5).tolist() == np.lexsort((ids, -scores))[:5].tolist()
+    assert _best(np.array([np.nan, 0.5, np.nan]), np.arange(3), 2).tolist() == [1, 0]
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from lodestone.session import shared_top
+
+    def session(master, named):
+        conf = SimpleNamespace(get=lambda *_: named)
+        return SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+
+    assert shared_top(session("spark://host:7077", "hdfs://store/x/")) == "hdfs://store/x"
+    with pytest.raises(ValueError):
+        shared_top(session("spark://host:7077", None))
