@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat_format, decontamination, hnsw, line_dedup, packing, quality, sharding, simhash, substring_dedup, toxicity
+from lodestone.llm import chat_format, decontamination, hnsw, line_dedup, packing, prefix_trie, quality, sharding, simhash, spelling, substring_dedup, suffix_dedup, toxicity
 from lodestone.llm.common import table
 
 
@@ -63,6 +63,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"), length=100))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_prefixes(table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), least=7, times=2, every=31, ratio=10)
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_substring_dedup": op2_substring_dedup,
@@ -74,10 +86,14 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE_SQL = {
     "op2_substring_dedup": substring_dedup.ORACLE_SQL,
     "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op7_decontamination": decontamination.ORACLE_SQL,
+    "op11_suffix_dedup": suffix_dedup.ORACLE_SQL,
 }
