@@ -6,7 +6,7 @@ import importlib
 
 from lodestone.plans.registry import ORACLE_SQL, QUERIES
 
-for _family in ("retrieval", "routes", "graphs", "evaluation", "filtering", "texts", "answers"):
+for _family in ("retrieval", "routes", "graphs", "evaluation", "filtering", "texts", "answers", "streams"):
     importlib.import_module(f"lodestone.plans.{_family}")
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

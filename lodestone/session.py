@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,11 +52,31 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
-    import uuid
-
     return f"{shared_top(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def passing_path(spark: SparkSession, name: str) -> str:
+    """A new shared path whose files go when Python ends."""
+    path = shared_path(spark, name)
+    atexit.register(_removed, spark, path)
+    return path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder on whatever file system the path names; none is no error."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    # A stopped session has no settings any more, but its JVM can still delete.
+    conf = jvm.org.apache.hadoop.conf.Configuration() if context is None else context.hadoopConfiguration()
+    where.getFileSystem(conf).delete(where, True)
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    # What fails here, such as a JVM that has ended, must not turn a finished program into a failed one.
+    with contextlib.suppress(Exception):
+        remove_path(spark, path)
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers on this machine import the package from where the driver has it, whatever their folder.
 
