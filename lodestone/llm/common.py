@@ -58,6 +58,18 @@ def _files_freed(spark: SparkSession):
         spark.conf.set(_FREE, had) if had is not None else spark.conf.unset(_FREE)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str):
+    """Meanwhile Python workers get batches of at most this size (a large row comes alone); the default is 64 MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, had)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet into the shared folder and read back: lineage ends here, and lost executors cost nothing.
 

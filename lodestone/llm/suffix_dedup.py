@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import drop_staged, pick, staged
+from lodestone.llm.common import drop_staged, pick, small_batches, staged
 
 #: Perfect difference sets: each nonzero residue is one difference of two members.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
@@ -374,7 +374,7 @@ def _cut(length: int, bits: int):
     return run
 
 
-def dedup_bytes(docs: DataFrame, length: int = 100, chunk_bytes: int = 4 << 20, bucket_keys: int = 4 << 20, slices: int = 2, hot: int = 1 << 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = 100, chunk_bytes: int = 2 << 20, bucket_keys: int = 2 << 20, slices: int = 2, hot: int = 1 << 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, kept (binary), n_bytes, starts and lengths of the maximal removed runs: one row per row of docs.
 
     Texts are UTF-8 bytes. A byte goes if it lies in a string of `length` bytes that also starts earlier: in a document of
@@ -393,28 +393,29 @@ def dedup_bytes(docs: DataFrame, length: int = 100, chunk_bytes: int = 4 << 20,
     rows = pick(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     order = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", F.col("text").cast("binary").alias("text"))
-    plain = staged(ranged.mapInArrow(_chunks(chunk_bytes), CHUNK), "chunks")
-    v, cover = cover_for(length)
-    total = plain.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(30, max(1, int(np.ceil(np.log2(max(2 * parts, total * len(cover) / v / bucket_keys))))))
-
-    def sort(sent: DataFrame, by) -> DataFrame:
-        return sent.groupBy("bucket").applyInArrow(by, SENT_SQL)
-
-    def each(left: DataFrame, right: DataFrame, by, schema: str) -> DataFrame:
-        return left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(by, schema)
-
-    answers = staged(sort(plain.select("chunk", "sizes", "body").mapInArrow(_send_windows(length, bits), SENT_SQL), _sort_windows(hot)), "windows")
-    marked = staged(each(plain, answers, _mark(length, bits), f"{CHUNK}, bits binary, hot binary"), "marked")
-    drop_staged(plain, answers)
-    parts_of = [staged(sort(marked.select("chunk", "sizes", "body", "bits", "hot").mapInArrow(_send_names(length, bits, slices, i), SENT_SQL), _sort_names), "names") for i in range(slices)]
-    names = functools.reduce(DataFrame.unionAll, parts_of)
-    sent = staged(each(marked, names, _settle(length, bits), SENT_SQL), "settled")
-    drop_staged(*parts_of)
-    strings = sent.filter(F.col("bucket") != OWN)
-    later = sort(strings, _sort_names).join(strings.select("chunk", "bucket", (F.length("a") / 4).cast("int").alias("n")), ["chunk", "bucket"])
-    later = staged(later.select("chunk", "bucket", "a", "b", "n"), "later")
+    with small_batches(spark, "4m"):
+        plain = staged(ranged.mapInArrow(_chunks(chunk_bytes), CHUNK), "chunks")
+        v, cover = cover_for(length)
+        total = plain.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        bits = min(30, max(1, int(np.ceil(np.log2(max(2 * parts, total * len(cover) / v / bucket_keys))))))
+
+        def sort(sent: DataFrame, by) -> DataFrame:
+            return sent.groupBy("bucket").applyInArrow(by, SENT_SQL)
+
+        def each(left: DataFrame, right: DataFrame, by, schema: str) -> DataFrame:
+            return left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(by, schema)
+
+        answers = staged(sort(plain.select("chunk", "sizes", "body").mapInArrow(_send_windows(length, bits), SENT_SQL), _sort_windows(hot)), "windows")
+        marked = staged(each(plain, answers, _mark(length, bits), f"{CHUNK}, bits binary, hot binary"), "marked")
+        drop_staged(plain, answers)
+        parts_of = [staged(sort(marked.select("chunk", "sizes", "body", "bits", "hot").mapInArrow(_send_names(length, bits, slices, i), SENT_SQL), _sort_names), "names") for i in range(slices)]
+        names = functools.reduce(DataFrame.unionAll, parts_of)
+        sent = staged(each(marked, names, _settle(length, bits), SENT_SQL), "settled")
+        drop_staged(*parts_of)
+        strings = sent.filter(F.col("bucket") != OWN)
+        later = sort(strings, _sort_names).join(strings.select("chunk", "bucket", (F.length("a") / 4).cast("int").alias("n")), ["chunk", "bucket"])
+        later = staged(later.select("chunk", "bucket", "a", "b", "n"), "later")
     own = sent.filter(F.col("bucket") == OWN).withColumn("n", F.lit(0))
     return each(marked.select("chunk", "ids", "sizes", "body"), own.unionAll(later), _cut(length, bits), "doc_id long, kept binary, n_bytes long, starts array<long>, lengths array<long>")
 

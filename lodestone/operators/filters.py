@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import matching
+
 
 def _equal(fields: dict, meta: str | None) -> Column:
     value = lambda k: F.coalesce(F.col(k), F.col(meta)[k]) if meta else F.col(k)
@@ -46,14 +48,12 @@ def temporal_distance(distance: Column, year: Column, current: int, requested: i
     return out.when((year == current) & (distance > 0), distance / 1.5).when(year < current, distance / 0.7).otherwise(distance)
 
 
-def rules_fired(texts: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
-    """key, chunk_id, ord: chunks of the rules with a pattern that matches the text, each at its first place (JN10).
-
-    rules: ord, pattern, chunk_id. Texts are matched with each distinct pattern once, by a nested loop over the rule
-    table, which Spark broadcasts while it is small.
-    """
-    fired = texts.select(key, text).join(rules, F.regexp_like(text, F.col("pattern")))
-    return fired.groupBy(key, "chunk_id").agg(F.min("ord").alias("ord"))
+def rules_fired(texts: DataFrame, rules: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, chunk_id, ord: chunks of the rules (ord, pattern, chunk_id) with a pattern that matches the text, each at its
+    first place (JN10). Several rows may share an ord; see matching.fired()."""
+    own = rules.select(F.xxhash64("ord", "pattern", "chunk_id").alias("_id"), "ord", "pattern", "chunk_id").dropDuplicates(["_id"])
+    hits = matching.fired(texts, own.select(F.col("_id").alias("ord"), "pattern"), keys, text).withColumnRenamed("ord", "_id")
+    return hits.join(own.select("_id", "ord", "chunk_id"), "_id").groupBy(*keys, "chunk_id").agg(F.min("ord").alias("ord"))
 
 
 def latest(df: DataFrame, keys: list[str], year: str, order: list[str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import filters
+from lodestone.operators import filters, matching
 from lodestone.plans.registry import query, table
 
 NOW = 1996
@@ -74,8 +74,22 @@ _RSQL = "r(ord, pattern, chunk_id) AS (VALUES " + ", ".join(f"({o}, '{p}', '{c}'
 def booster_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN10: texts against a table of patterns."""
     rules = spark.createDataFrame(_RULES, "ord int, pattern string, chunk_id string")
-    c = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("k"), "text")
-    return filters.rules_fired(c, rules, "k", "text").select("k.conv_id", "k.turn", "chunk_id", "ord")
+    c = table(spark, sf_dir, "conversations")
+    return filters.rules_fired(c, rules, ["conv_id", "turn"], "text")
+
+
+_LONG_WORDS = r"SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS w FROM benchmark"
+
+
+@query(f"""WITH w AS ({_LONG_WORDS}), r AS (SELECT md5(w) AS id, w, w AS literal, '' AS rest FROM w WHERE length(w) % 2 = 0 UNION ALL SELECT md5(w), w, left(w, 4), 's?,? ' FROM w WHERE length(w) % 2 = 1)
+SELECT conv_id, turn, count(*) AS fired, min(id) AS first FROM conversations, r WHERE CASE WHEN rest = '' THEN contains(text, literal) ELSE regexp_matches(text, literal || rest) END GROUP BY ALL""")
+def rule_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN10: a rule for each longer word of the benchmark, half of them patterns, over all turns in one scan."""
+    w = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("w")).distinct()
+    pattern = F.when(F.length("w") % 2 == 0, F.col("w")).otherwise(F.concat(F.substring("w", 1, 4), F.lit("s?,? ")))
+    rules = w.select(F.xxhash64("w").alias("ord"), F.md5(F.col("w").cast("binary")).alias("id"), pattern.alias("pattern"))
+    hits = matching.fired(table(spark, sf_dir, "conversations"), rules, ["conv_id", "turn"], "text").join(rules.select("ord", "id"), "ord")
+    return hits.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("fired"), F.min("id").alias("first"))
 
 
 @query(f"WITH {_RSQL} SELECT chunk_id, min(ord) AS ord FROM r WHERE chunk_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents) GROUP BY chunk_id")
@@ -94,15 +108,24 @@ def pii_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.has_pii(F.col("text")).alias("pii"))
 
 
-@query(r"""WITH k(word, side) AS (VALUES ('thonre', 'allow'), ('idiot', 'deny'), ('that', 'allow'), ('pathetic', 'deny'))
-SELECT conv_id, turn, coalesce(bool_or(side = 'allow' AND contains(lower(text), word)), false) AS allowed, coalesce(bool_or(side = 'deny' AND contains(lower(text), word)), false) AS denied
-FROM conversations, k GROUP BY conv_id, turn, text""")
+_SCOPE = r"""p AS (SELECT conv_id, turn, array_to_string(regexp_extract_all(lower(text), '[a-z]+')[1:1 + conv_id % 2], ' ') AS phrase FROM conversations),
+a AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark WHERE item_id % 2 = 0),
+d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS word FROM benchmark WHERE item_id % 5 = 1)"""
+
+
+@query(f"""WITH {_SCOPE}, q AS (SELECT DISTINCT phrase FROM p WHERE phrase <> ''),
+x AS (SELECT DISTINCT phrase FROM q, a WHERE phrase = word OR (length(word) >= 3 AND (contains(phrase, word) OR contains(word, phrase)) AND NOT (length(word) < 4 AND length(phrase) < 4))),
+y AS (SELECT DISTINCT phrase FROM q, d WHERE contains(phrase, word))
+SELECT conv_id, turn, phrase, phrase IN (FROM x) AS allowed, phrase IN (FROM y) AS denied FROM p""")
 def scope_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FIL22, JN16: a keyword table with two sides."""
-    words = spark.createDataFrame([("thonre", "allow"), ("idiot", "deny"), ("that", "allow"), ("pathetic", "deny")], "word string, side string")
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower("text").alias("t"))
-    hits = c.join(F.broadcast(words), F.contains("t", "word")).groupBy("conv_id", "turn").agg(F.bool_or(F.col("side") == "allow").alias("a"), F.bool_or(F.col("side") == "deny").alias("d"))
-    return c.join(hits, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("a", F.lit(False)).alias("allowed"), F.coalesce("d", F.lit(False)).alias("denied"))
+    """FIL22, JN16: phrases against a list either way (words of three letters or more, not both under four), and against a list of refusals one way."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    p = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.slice(found, F.lit(1), (1 + F.col("conv_id") % 2).cast("int")), " ").alias("phrase"))
+    words = lambda least, keep: table(spark, sf_dir, "benchmark").filter(keep).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"[a-z]{{{least},}}"), F.lit(0))).alias("word")).distinct()
+    allowed = matching.either_way(p, words(1, "item_id % 2 = 0")).withColumn("allowed", F.lit(True))
+    refused = words(4, "item_id % 5 = 1").select(F.xxhash64("word").alias("ord"), F.col("word").alias("pattern"))
+    denied = matching.fired(p.select("phrase").distinct(), refused, ["phrase"], "phrase").select("phrase").distinct().withColumn("denied", F.lit(True))
+    return p.join(allowed, "phrase", "left").join(denied, "phrase", "left").select("conv_id", "turn", "phrase", F.coalesce("allowed", F.lit(False)).alias("allowed"), F.coalesce("denied", F.lit(False)).alias("denied"))
 
 
 _PHRASES = ["Học phí năm nay là?", "Điểm chuẩn 2024 và 2031 ngành CNTT", "so sánh học phí qua các năm", "chỉ tiêu năm ngoái", "xin chào", "đối chiếu điểm 2025", "năm nayx", "theo nămm 2019", "tổ hợp xét tuyển sang năm", "mã 7480201 năm 1999"]

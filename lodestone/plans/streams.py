@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import caching
+from lodestone.operators import caching, graph
+from lodestone.plans.graphs import _NODES, raw_edges
 from lodestone.plans.registry import query, table
 from lodestone.plans.texts import _plain, _stream
+from lodestone.session import passing_path
+from lodestone.sources.versions import Unhealthy, Versions
 from lodestone.streaming import stateful, windows
 
 # A request hits if fewer other keys than the cache holds were used since its own was used last.
@@ -96,3 +99,56 @@ def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     deliveries = windows.delivered([events.filter(k == i) for i in range(4)], "deliveries")
     found = windows.split_late(deliveries, "late_rows", "1 day")
     return found.groupBy("batch", "event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("late").alias("late"))
+
+
+# Edges that customers give come in four deliveries; the sum over all is what a rebuild gives.
+_FOUR = 4
+
+
+@query(f"WITH {_NODES} SELECT head, relation, tail, CAST(weight AS DOUBLE) AS weight, chunk_ids FROM edges1")
+def graph_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM5: edges merged into a bucketed table batch by batch, each batch given twice; the result equals a rebuild."""
+    keys = ["head", "relation", "tail"]
+    sound = raw_edges(spark, sf_dir).filter("head <> '' AND tail <> ''")
+    k = F.pmod(F.xxhash64("head", "chunk_ids"), F.lit(_FOUR))
+    log = Versions(spark, passing_path(spark, "graph"))
+    log.write(sound.limit(0), buckets=8, keys=keys)
+
+    def merge(df: DataFrame, batch: int) -> None:
+        for _ in range(2):
+            log.merge(df, lambda old, new: graph.merge_edges(old.unionByName(new)), batch)
+
+    deliveries = windows.delivered([sound.filter(k == i) for i in range(_FOUR)], "edges")
+    windows.merge_each(deliveries, merge, "graph")
+    return log.read()
+
+
+@query("SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS h, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS revision FROM documents WHERE doc_id % 11 <> 0 OR doc_id % 5 = 0")
+def ingest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM6: a delivery of documents, then one of changed ones; only what is new or differs by digest is written, to the buckets it touches."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    first = d.filter("doc_id % 11 <> 0").select("doc_id", F.sha2("text", 256).alias("h"), F.lit(0).alias("revision"))
+    second = d.filter("doc_id % 5 = 0").select("doc_id", F.sha2(F.concat("text", F.lit("!")), 256).alias("h"), F.lit(1).alias("revision")).unionAll(first.filter("doc_id % 5 = 1"))
+    log = Versions(spark, passing_path(spark, "ingest"))
+    log.write(first.limit(0), buckets=8, keys=["doc_id"])
+
+    def changed(old: DataFrame, new: DataFrame) -> DataFrame:
+        return old.unionByName(new).groupBy("doc_id").agg(F.max_by("h", "revision").alias("h"), F.max("revision").alias("revision"))
+
+    windows.merge_each(windows.delivered([first, second], "documents"), lambda df, batch: log.merge(df, changed, batch), "ingest")
+    return log.read()
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n, CAST(2 AS BIGINT) AS version FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_orderstatus")
+def blue_green_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK11, SNK7: an empty table, then half of the orders; a version that fails its check isn't switched to."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), "o_orderkey")
+    log = Versions(spark, passing_path(spark, "orders"))
+    log.write(o.limit(0))
+    healthy = lambda df: not df.isEmpty() and df.filter("status IS NULL").isEmpty()
+    version = log.write(o.filter("o_orderkey % 2 = 0"), healthy)
+    try:
+        log.write(o.limit(0), healthy)
+    except Unhealthy:
+        pass
+    return log.read().groupBy("status").agg(F.count(F.lit(1)).alias("n")).withColumn("version", F.lit(version).cast("long"))

@@ -123,7 +123,12 @@ def rate_limited(events: DataFrame, most: int = 60, span: float = 60.0, key: str
     return events.groupBy(key).applyInPandasWithState(run, f"{key} long, {item} long, ok boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def merge_each(stream: DataFrame, merge: Callable[[DataFrame], None], name: str) -> None:
-    """Runs merge on each micro-batch of what is there now (STM5, STM6)."""
-    path = shared_path(stream.sparkSession, f"{name}-state")
-    stream.writeStream.foreachBatch(lambda df, _: merge(df)).option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
+def merge_each(deliveries: Iterator[DataFrame], merge: Callable[[DataFrame, int], None], name: str) -> None:
+    """Runs merge(rows, batch) on each micro-batch of the streams, one after the other (STM5, STM6). A batch may come again
+    after a failure, with the same number: merge must not count it twice."""
+    state = None
+    for stream in deliveries:
+        state = state or shared_path(stream.sparkSession, f"{name}-state")
+        stream.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    if state is not None:
+        remove_path(stream.sparkSession, state)
