@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,13 @@ LEGAL = (
     (r"^Khoản\s+\d+[\.:]?", "- **", "**"),
     (r"^[a-zđ]\)\s+", "  - ", ""),
 )
+# Headings of legal texts, lines that head or foot their pages (the last two also within a line), and their motto.
+LEGAL_HEADING = (r"^(PHẦN|CHƯƠNG|MỤC)\s+[IVXLC\d]+", r"^Điều\s+\d+[\.:]", r"^Khoản\s+\d+[\.:]", r"^[a-zđ]\)\s+")
+PAGE, NUMBER = r"^(Trang|Page)\s*\d+(?:\s*/\s*\d+)?$", r"^Số\s*:\s*[^\s]+"
+PLACE_DATE = r"(Hà Nội|Huế|TP\.?\s*Hồ Chí Minh|Đà Nẵng).*ngày\s+\d{1,2}\s+tháng\s+\d{1,2}\s+năm\s+\d{4}"
+MOTTO = ("CỘNG HÒA XÃ HỘI CHỦ NGHĨA VIỆT NAM", "ĐỘC LẬP - TỰ DO - HẠNH PHÚC")
+# What ends a line.
+LINE_END = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
 # Words by which a question asks for earlier years.
 HISTORICAL = r"\b(so sánh|so sanh|đối chiếu|doi chieu|thay đổi|thay doi|tăng|giảm|so với|so voi|năm\s+\b20\d{2}\b|năm\s+(trước đó|năm trước)|trước|cũ|historical|vs|năm\s+20\d{2})\b"
 # Words by which a question asks for a list of programmes, and the chunk type that answers it.
@@ -33,6 +42,22 @@ def legal_line(line: str | Column, rules: tuple[tuple[str, str, str], ...] = LEG
     return out.otherwise(t)
 
 
+def legal_heading(line: Column) -> Column:
+    """Whether a trimmed line is a heading of a legal text (FIL14)."""
+    return reduce(lambda a, b: a | b, [line.rlike(FOLD + p) for p in LEGAL_HEADING])
+
+
+def header_footer(line: Column) -> Column:
+    """Whether a trimmed line heads or foots a page: its number, the document's, place and date, or the motto (FIL14)."""
+    upper = F.upper(line)
+    return line.rlike(FOLD + PAGE) | line.rlike(NUMBER) | line.rlike(FOLD + PLACE_DATE) | reduce(lambda a, b: a | b, [F.contains(upper, F.lit(m)) for m in MOTTO])
+
+
+def stripped(text: Column) -> Column:
+    """text without white space of any script at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def heading(value: str | Column, most: int = 120, default: str = "Chunk") -> Column:
     """A name as a heading: runs of underscores and hyphens as spaces, at most `most` characters (FN5)."""
     v = _trim(F.regexp_replace(value, r"[_\-]+", " "))
@@ -115,12 +140,12 @@ def seeds(question: str | Column, step_back: str | Column, variants: str | Colum
     return F.array_distinct(F.transform(both, lambda x: F.lower(x)))
 
 
-def public_status(code: str | Column, mode: str) -> Column:
-    """What callers see of an internal code: in production only success, personal data, or out of scope (FN36)."""
+def public_status(code: str | Column, mode: str, other: str = "OUT_OF_SCOPE") -> Column:
+    """What callers see of an internal code: in production only success and personal data, and `other` for the rest (FN36)."""
     c = F.col(code) if isinstance(code, str) else code
     if mode.lower() != "prod":
         return c
-    return F.when(c.isin("SUCCESS", "SENSITIVE_PII_DETECTED"), c).otherwise("NOT_IN_HUSC_SCOPE")
+    return F.when(c.isin("SUCCESS", "SENSITIVE_PII_DETECTED"), c).otherwise(other)
 
 
 def normal_output(mode: str = "v2") -> list[Column]:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import rules
+
 #: Separators by falling preference, and headings at which legal texts are cut.
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 HEADING = r"(?m)^(?=\s*(?:Chương|Điều|Mục)\s+[\dIVXLC]+)"
@@ -77,22 +79,31 @@ def linked(df: DataFrame, doc_id: str = "doc_id", order: str = "chunk_id", item:
     return df.withColumns({"prev_chunk_id": F.coalesce(F.lag(item).over(w), F.lit("")), "next_chunk_id": F.coalesce(F.lead(item).over(w), F.lit(""))})
 
 
-def lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(doc_id, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+def paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, pos (from 0), paragraph: texts cut at blank lines, parts stripped, empty ones left out (TF4)."""
+    parts = F.filter(F.transform(F.split(text, r"(?U)\n\s*\n"), rules.stripped), lambda p: p != "")
+    return docs.select(doc_id, F.posexplode(parts).alias("pos", "paragraph"))
+
 
+def without_boilerplate(docs: DataFrame, times: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with each text cleaned as a legal one, and `legal`: whether it has headings (FIL14, FN4).
 
-def without_boilerplate(docs: DataFrame, heading: str = r"^\s*(Chương|Điều|Mục)\s+[\dIVXLC]+", times: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with lines that a document has `times` times or more removed, unless they are headings (FIL14).
+    Lines are stripped and blank ones go. What heads or foots pages goes, and so do lines that a document has `times`
+    times or more, unless they are headings. The rest is written as Markdown, with a blank line before each heading. A null text
+    stays null.
 
     Counting and filtering stay inside each row, as arrays; nothing is shuffled. A line that occurs often enough equals
-    the one times - 1 places on among the sorted lines. Texts without such a line are passed on as they are.
+    the one times - 1 places on among the sorted lines.
     """
-    sorted_ = docs.withColumn("_sorted", F.sort_array(F.split(text, "\n", -1)))
     # Each array is named twice by what uses it: so it is computed once a row, not once an element.
-    again = F.filter("_sorted", lambda x, i: (x == F.get("_sorted", i + (times - 1))) & ~x.rlike(heading))
-    found = sorted_.withColumn("_often", F.when(F.size("_sorted") >= times, F.array_distinct(again)).otherwise(F.slice("_sorted", 1, 0)))
-    kept = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains("_often", x))
-    return found.withColumn(text, F.when(F.size("_often") > 0, F.array_join(kept, "\n")).otherwise(F.col(text))).drop("_sorted", "_often")
+    split = docs.withColumn("_lines", F.filter(F.transform(F.split(text, rules.LINE_END, -1), rules.stripped), lambda x: x != ""))
+    ordered = split.withColumn("_sorted", F.sort_array("_lines"))
+    again = F.filter("_sorted", lambda x, i: x == F.get("_sorted", i + (times - 1)))
+    found = ordered.withColumn("_often", F.when(F.size("_sorted") >= times, F.array_distinct(again)).otherwise(F.slice("_sorted", 1, 0)))
+    kept = found.withColumn("_kept", F.filter("_lines", lambda x: ~rules.header_footer(x) & (~F.array_contains("_often", x) | rules.legal_heading(x))))
+    told = F.transform("_kept", lambda x, i: F.concat(F.when(rules.legal_heading(x) & (i > 0), "\n").otherwise(""), rules.legal_line(x)))
+    out = kept.withColumn("legal", F.coalesce(F.exists("_kept", rules.legal_heading), F.lit(False)))
+    return out.withColumn(text, F.array_join(told, "\n")).drop("_lines", "_sorted", "_often", "_kept")
 
 
 def validated(df: DataFrame, least_text: int = 10) -> DataFrame:

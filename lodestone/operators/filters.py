@@ -81,6 +81,14 @@ def manifest_diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> Data
     return both.select(key, status.alias("status"))
 
 
+def first_rows(df: DataFrame, ids: list, key: str, order: list[str]) -> DataFrame:
+    """The first row by order of each of the given ids that df has (JN1). The ids reach the scan as an IN filter, and rows of
+    one id are combined before the exchange."""
+    rest = [c for c in df.columns if c != key]
+    found = df.filter(F.col(key).isin(ids)).groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return found.select(key, "_r.*")
+
+
 def append_new(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """incoming rows whose key doesn't exist yet, each key once (SNK3, JN12)."""
     return incoming.dropDuplicates([key]).join(existing.select(key), key, "left_anti")

@@ -129,11 +129,13 @@ def scope_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PHRASES = ["Học phí năm nay là?", "Điểm chuẩn 2024 và 2031 ngành CNTT", "so sánh học phí qua các năm", "chỉ tiêu năm ngoái", "xin chào", "đối chiếu điểm 2025", "năm nayx", "theo nămm 2019", "tổ hợp xét tuyển sang năm", "mã 7480201 năm 1999"]
-_PSQL = "p(id, text) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_PHRASES)) + ")"
+_PSQL = "p AS (SELECT conv_id * 1000 + turn AS id, ([" + ", ".join(f"'{t}'" for t in _PHRASES) + f"])[1 + (conv_id + turn) % {len(_PHRASES)}] || ' ' || text AS text FROM conversations)"
 
 
-def _phrases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(_PHRASES)), "id int, text string")
+def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns, each behind one of the phrases."""
+    phrase = F.get(F.array(*map(F.lit, _PHRASES)), ((F.col("conv_id") + F.col("turn")) % len(_PHRASES)).cast("int"))
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(phrase, F.lit(" "), "text").alias("text"))
 
 
 _CASE = " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{label}'" for label, p in T.INTENTS)
@@ -142,20 +144,20 @@ _CASE = " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{label}'" for labe
 @query(f"WITH {_PSQL} SELECT id, CASE {_CASE} END AS intent FROM p")
 def intent_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN16."""
-    return _phrases(spark).select("id", T.first_match(F.col("text")).alias("intent"))
+    return _phrases(spark, sf_dir).select("id", T.first_match(F.col("text")).alias("intent"))
 
 
 @query(rf"WITH {_PSQL} SELECT id, list_transform(regexp_extract_all(text, '\b(199\d|20[0-3]\d)\b', 1), lambda y: CAST(y AS INTEGER)) AS years FROM p")
 def year_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN13."""
-    return _phrases(spark).select("id", T.years("text").alias("years"))
+    return _phrases(spark, sf_dir).select("id", T.years("text").alias("years"))
 
 
 @query(rf"""WITH {_PSQL}, y AS (SELECT *, CAST(nullif(regexp_extract(text, '\b(199\d|20[0-3]\d)\b', 1), '') AS INTEGER) AS y FROM p)
 SELECT id, CASE WHEN regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_])(so\s+sánh|đối\s+chiếu|qua\s+các\s+năm|từng\s+năm|theo\s+năm|giữa\s+các\s+năm)($|[^\p{{L}}\p{{N}}_])') THEN 'cross_year' WHEN regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_])(năm\s+nay|hiện\s+tại|năm\s+hiện\s+tại|hiện\s+nay)($|[^\p{{L}}\p{{N}}_])') THEN 'current' WHEN regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_])(năm\s+trước|năm\s+ngoái|năm\s+cũ|năm\s+rồi)($|[^\p{{L}}\p{{N}}_])') THEN 'historical' WHEN y >= 2026 THEN 'current' WHEN y < 2026 THEN 'historical' ELSE 'ambiguous' END AS intent FROM y""")
 def temporal_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN15."""
-    return _phrases(spark).select("id", T.temporal_intent(F.col("text"), 2026).alias("intent"))
+    return _phrases(spark, sf_dir).select("id", T.temporal_intent(F.col("text"), 2026).alias("intent"))
 
 
 _REL = "text"
@@ -166,7 +168,7 @@ for _p, _o in T.RELATIVE:
 @query(rf"WITH {_PSQL} SELECT id, CASE WHEN regexp_matches(text, '\b20[2-3][0-9]\b') THEN text ELSE {_REL} END AS text FROM p")
 def year_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN14."""
-    return _phrases(spark).select("id", T.with_years(F.col("text"), 2026).alias("text"))
+    return _phrases(spark, sf_dir).select("id", T.with_years(F.col("text"), 2026).alias("text"))
 
 
 @query(r"""WITH c AS (SELECT conv_id, turn, text, len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS n FROM conversations),

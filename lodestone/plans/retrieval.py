@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import bm25, fusion, knn
+from lodestone.operators import bm25, filters, fusion, knn
 from lodestone.plans.registry import query, table
 
 #: Texts of the ad-hoc queries; words that occur in the corpus.
@@ -211,10 +211,11 @@ def topk_exempt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.top_k_exempt(_top(spark, sf_dir), 5, F.col("doc_id") % 4 == 1).select("qid", "doc_id", "rank")
 
 
-@query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id IN (1, 5, 7, 42, 99999999)")
+@query("SELECT l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey)) AS l_partkey, min(l_linenumber) AS l_linenumber FROM lineitem WHERE l_orderkey IN (1, 5, 7, 42, 99999999) GROUP BY l_orderkey")
 def fetch_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC12, SRC20, JN1: a point read that reaches the scan as an IN filter."""
-    return table(spark, sf_dir, "documents").filter(F.col("doc_id").isin(1, 5, 7, 42, 99999999)).select("doc_id", "lang", "n_chars")
+    """SRC12, SRC20, JN1: a point read that reaches the scan as an IN filter; of several rows of an id the first."""
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    return filters.first_rows(t, [1, 5, 7, 42, 99999999], "l_orderkey", ["l_linenumber", "l_partkey"])
 
 
 @query("""WITH v AS (SELECT doc_id, doc_id % 3 AS variant, CAST(n_chars AS DOUBLE) / 1000 AS score, source AS k FROM documents),

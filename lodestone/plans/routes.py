@@ -12,13 +12,14 @@ from lodestone.plans.retrieval import _DENSE, dense
 from lodestone.sources import tables
 
 _LINES = ["CHƯƠNG IV Tuyển sinh", " Điều 5. Hồ sơ", "khoản 2: Thời hạn", "a) bản sao", "đ) ảnh", "Điều kiện", "", "mục 3"]
-_MADE = ["## CHƯƠNG IV Tuyển sinh", "### Điều 5. Hồ sơ", "- **khoản 2: Thời hạn**", "  - a) bản sao", "  - đ) ảnh", "Điều kiện", "", "## mục 3"]
+_LINE_SQL = "l AS (SELECT doc_id, trim(([" + ", ".join(f"'{x}'" for x in _LINES) + f"])[1 + doc_id % {len(_LINES)}] || ' ' || source) AS line FROM documents)"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_MADE)) + ") AS p(id, line)")
+@query(f"WITH {_LINE_SQL} SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(line, '(?i){p}') THEN '{x}' || line || '{y}'" for p, x, y in rules.LEGAL) + " ELSE line END AS line FROM l")
 def legal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN4."""
-    return spark.createDataFrame(list(enumerate(_LINES)), "id int, line string").select("id", rules.legal_line("line").alias("line"))
+    """FN4: a line of a legal text for each document, its source behind it."""
+    line = F.concat(F.get(F.array(*map(F.lit, _LINES)), (F.col("doc_id") % len(_LINES)).cast("int")), F.lit(" "), "source")
+    return table(spark, sf_dir, "documents").select("doc_id", rules.legal_line(line).alias("line"))
 
 
 @query(r"""SELECT doc_id, coalesce(nullif(trim(regexp_replace(source, '[^a-zA-Z0-9_]+', '_', 'g'), '_'), ''), 'doc') AS safe, CAST(coalesce(nullif(regexp_extract(source, '([0-9]+)$', 1), ''), '7') AS BIGINT) AS number,
@@ -41,12 +42,16 @@ def faq_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", rules.faq_types("text", _FAQ, ("ing",)).alias("types"))
 
 
-@query(r"""WITH p(id, text) AS (VALUES (0, 'Điểm năm 2024'), (1, 'học phí giảm không'), (2, 'giảmx'), (3, 'học phí'), (4, 'CNTT VS luật'), (5, 'cũng được'))
-SELECT id, regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])(giảm|vs|cũ|năm\s+20[0-9]{2})($|[^\p{L}\p{N}_])') AS historical FROM p""")
+_ASKED = ["Điểm năm 2024", "học phí giảm không", "giảmx", "học phí", "CNTT VS luật", "cũng được", "so sánh", "năm trước đó", "năm 20245"]
+_WORDS = rules.HISTORICAL.removeprefix(r"\b").removesuffix(r"\b").replace(r"\b", "")
+
+
+@query(rf"""WITH p AS (SELECT conv_id, turn, ([{", ".join(f"'{x}'" for x in _ASKED)}])[1 + (conv_id + turn) % {len(_ASKED)}] || ' ' || text AS text FROM conversations)
+SELECT conv_id, turn, regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_])({_WORDS})($|[^\p{{L}}\p{{N}}_])') AS historical FROM p""")
 def historical_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FN17."""
-    own = ["Điểm năm 2024", "học phí giảm không", "giảmx", "học phí", "CNTT VS luật", "cũng được"]
-    return spark.createDataFrame(list(enumerate(own)), "id int, text string").select("id", rules.historical("text").alias("historical"))
+    """FN17: all turns, each behind a question."""
+    asked = F.concat(F.get(F.array(*map(F.lit, _ASKED)), ((F.col("conv_id") + F.col("turn")) % len(_ASKED)).cast("int")), F.lit(" "), "text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", rules.historical(asked).alias("historical"))
 
 
 @query(r"""SELECT conv_id, turn, CAST(len(list_distinct(list_transform(regexp_extract_all(text, '(?i)th[a-z]+re'), lambda x: lower(x)))) + len(list_distinct(list_transform(regexp_extract_all(text, '(?i)er[a-z]+'), lambda x: lower(x)))) AS INTEGER) AS entities,
@@ -60,7 +65,7 @@ def entity_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CODES = "CASE event_type WHEN 'view' THEN 'SUCCESS' WHEN 'click' THEN 'SENSITIVE_PII_DETECTED' ELSE upper(event_type) END"
 
 
-@query(f"SELECT event_id, CASE WHEN c IN ('SUCCESS', 'SENSITIVE_PII_DETECTED') THEN c ELSE 'NOT_IN_HUSC_SCOPE' END AS prod, c AS dev FROM (SELECT event_id, {_CODES} AS c FROM events)")
+@query(f"SELECT event_id, CASE WHEN c IN ('SUCCESS', 'SENSITIVE_PII_DETECTED') THEN c ELSE 'OUT_OF_SCOPE' END AS prod, c AS dev FROM (SELECT event_id, {_CODES} AS c FROM events)")
 def public_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN36."""
     e = table(spark, sf_dir, "events").select("event_id", F.expr(_CODES).alias("c"))

@@ -8,26 +8,37 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import rules
 from lodestone.operators import chunking
 from lodestone.plans.registry import query, table
 from lodestone.sources import html
 from lodestone.streaming import windows
 
 
-@query(r"""WITH l AS (SELECT doc_id, i, parts[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), unnest(generate_series(1, len(parts))) AS u(i)),
-c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line) AS n FROM l)
-SELECT doc_id, md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (n < 3), '')) AS digest FROM c GROUP BY doc_id""")
+# What a page of a legal text has around its lines; every document gets some of it, by its number.
+_FRAME = ["CỘNG HÒA XÃ HỘI CHỦ NGHĨA VIỆT NAM", "Độc lập - Tự do - Hạnh phúc", "Số: 12/QĐ", "số: 12", " Trang 3 / 10 ", "Trang ba", "Huế, ngày 1 tháng 2 năm 2024", "Chương I Chung", "Điều 1. Phạm vi", "Điều kiện", "Điều kiện", "khoản 2: thời hạn", "a) bản sao", "a) bản sao", "a) bản sao", "Điều kiện", "page 7"]
+_TOP = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN (doc_id + {i}) % 3 > 0 THEN '{x}' END" for i, x in enumerate(_FRAME)) + "], lambda x: x IS NOT NULL), chr(10))"
+_HEAD = "(" + " OR ".join(f"regexp_matches(line, '(?i){p}')" for p in rules.LEGAL_HEADING) + ")"
+_PAGES = f"(regexp_matches(line, '(?i){rules.PAGE}') OR regexp_matches(line, '{rules.NUMBER}') OR regexp_matches(line, '(?i){rules.PLACE_DATE}') OR " + " OR ".join(f"contains(upper(line), '{m}')" for m in rules.MOTTO) + ")"
+_MARK = "CASE " + " ".join(f"WHEN regexp_matches(line, '(?i){p}') THEN '{x}' || line || '{y}'" for p, x, y in rules.LEGAL) + " ELSE line END"
+
+
+@query(f"""WITH l AS (SELECT doc_id, i, trim(parts[i], chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM (SELECT doc_id, string_split({_TOP} || chr(10) || text, chr(10)) AS parts FROM documents), unnest(generate_series(1, len(parts))) AS u(i)),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line) AS n, {_HEAD} AS head FROM l WHERE line <> ''),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM c WHERE NOT {_PAGES} AND (n < 3 OR head))
+SELECT d.doc_id, md5(coalesce(string_agg(CASE WHEN head AND nth > 1 THEN chr(10) ELSE '' END || {_MARK}, chr(10) ORDER BY i), '')) AS digest, coalesce(bool_or(head), false) AS legal FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id""")
 def boilerplate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FIL14."""
-    d = chunking.without_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return d.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    """FIL14, FN4: documents below the lines of a legal page, cleaned and written as Markdown."""
+    frame = F.array_join(F.array_compact(F.array(*[F.when((F.col("doc_id") + i) % 3 > 0, F.lit(x)) for i, x in enumerate(_FRAME)])), "\n")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(frame, F.lit("\n"), "text").alias("text"))
+    return chunking.without_boilerplate(d).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "legal")
 
 
-@query(r"""WITH l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, parts[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), unnest(generate_series(1, len(parts))) AS u(i))
-SELECT doc_id, pos, line FROM l WHERE trim(line) <> ''""")
+@query(r"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, '. ', chr(10) || ' ' || chr(10)), '\n\s*\n'), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS ps FROM documents)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, ps[i] AS paragraph FROM p, unnest(generate_series(1, len(ps))) AS u(i)""")
 def paragraph_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TF4."""
-    return chunking.lines(table(spark, sf_dir, "documents")).filter(F.trim("line") != "")
+    """TF4: texts whose sentences are parted by blank lines, with white space in them, cut there."""
+    return chunking.paragraphs(table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit("\n \n")).alias("text")))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS id FROM conversations)

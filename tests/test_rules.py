@@ -45,7 +45,7 @@ def test_router_rules(spark):
     assert one(spark, rules.entity_count("t", [r"\bcntt\b|\bluật\b", r"\b[a-d][0-9]{2}\b"]), t="CNTT, cntt và Luật khối A00 a00 D01") == 4
     df = spark.createDataFrame([("Luật A00", "cntt", ["luật", "D01", "B00", "C00"])], "q string, s string, v array<string>")
     assert df.select(rules.seeds("q", "s", "v", r"\bcntt\b|\bluật\b|\b[a-d][0-9]{2}\b").alias("x")).first().x == ["luật", "a00", "cntt", "d01", "b00"]
-    assert [one(spark, rules.public_status("t", "prod"), t=x) for x in ("SUCCESS", "SENSITIVE_PII_DETECTED", "TIMEOUT")] == ["SUCCESS", "SENSITIVE_PII_DETECTED", "NOT_IN_HUSC_SCOPE"]
+    assert [one(spark, rules.public_status("t", "prod"), t=x) for x in ("SUCCESS", "SENSITIVE_PII_DETECTED", "TIMEOUT")] == ["SUCCESS", "SENSITIVE_PII_DETECTED", "OUT_OF_SCOPE"]
     assert one(spark, rules.public_status("t", "DEV"), t="TIMEOUT") == "TIMEOUT"
 
 
