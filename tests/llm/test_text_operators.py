@@ -191,6 +191,24 @@ def test_similar_lines_at_one_place_keep_one(spark):
         assert len(left) == 3 and sorted(left)[:2] == ["", ""] and max(left) in near
 
 
+def test_similar_lines_of_very_many_words(spark):
+    """Around and above the sizes that a posting has room for beside a signature, in both orders."""
+    words = [f"v{i}" for i in range(140_000)]
+    for a, b in ((140_000, 120_000), (120_000, 100_000), (70_000, 60_000), (36_000, 30_000)):
+        for rows in ([(1, " ".join(words[:a])), (2, " ".join(words[:b]))], [(1, " ".join(words[:b])), (2, " ".join(words[:a]))]):
+            got = {r.doc_id: (r.n_links, r.kept) for r in line_dedup.dedup_lines(docs(spark, [*rows, (3, " ".join(words[: b // 2]))])).collect()}
+            assert got == {1: (1, True), 2: (1, False), 3: (0, True)}, (a, b)
+
+
+def test_many_rows_of_one_id_keep_one_copy_of_a_line(spark):
+    """Far more texts than the bits of a hash by which places are ordered can tell apart without fail, all with one line in common."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(150_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("one line for all\nown"), F.col("id").cast("string")).alias("text"))
+    out = line_dedup.dedup_lines(rows).filter("line_no = 0")
+    assert (out.count(), out.filter("kept").count()) == (150_000, 1)
+
+
 # --- op 6
 
 
