@@ -1,78 +1,12 @@
-"""Splitting, cleaning and linking texts (FIL14, FIL16, FIL20, TF1-TF5, WN5-WN7, AG47, STM9)."""
+"""Splitting, cleaning and linking texts (FIL14, FIL16, TF4, WN5-WN7, AG47, STM9); profiles.py cuts documents into chunks."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import rules
 
-#: Separators by falling preference, and headings at which legal texts are cut.
-SEPARATORS = ("\n\n", "\n", ". ", " ")
-HEADING = r"(?m)^(?=\s*(?:Chương|Điều|Mục)\s+[\dIVXLC]+)"
-
-
-@dataclass(frozen=True)
-class Profile:
-    """How one kind of document is cut; sizes are in tokens."""
-
-    size: int = 350
-    overlap: int = 60
-    least: int = 20
-    separators: tuple[str, ...] = SEPARATORS
-    heading: str | None = HEADING
-    count: Callable[[str], int] = field(default=lambda s: len(s.split()))
-
-
-def split_text(text: str, profile: Profile) -> list[str]:
-    """Chunks of a text: whole if it fits, else its legal blocks, or else its parts at the first separator it has, packed.
-
-    A chunk that overflows is emitted if it has enough tokens; the next one starts with its last `overlap` tokens. A
-    part that is larger than a chunk is not cut further.
-    """
-    count = profile.count
-    if not text.strip():
-        return []
-    if count(text) <= profile.size:
-        return [text.strip()] if count(text) >= profile.least else []
-    blocks = [b for b in re.split(profile.heading, text) if b.strip()] if profile.heading else []
-    joint = ""
-    if len(blocks) <= 1:
-        joint = next((s for s in profile.separators if s in text), "")
-        blocks = text.split(joint) if joint else [text]
-    out, held, size = [], [], 0
-    for block in blocks:
-        n = count(block)
-        if held and size + n > profile.size:
-            whole = joint.join(held).strip()
-            if count(whole) >= profile.least:
-                out.append(whole)
-            tail = " ".join(whole.split()[-profile.overlap :]) if profile.overlap else ""
-            held, size = ([tail], count(tail)) if tail else ([], 0)
-        held.append(block)
-        size += n
-    rest = joint.join(held).strip()
-    if count(rest) >= profile.least:
-        out.append(rest)
-    return out
-
-
-def chunks(docs: DataFrame, profile: Profile, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, chunk_id (from 0), text: the chunks of every document; null and blank texts have none."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(d, i, c) for d, t in zip(batch[doc_id], batch[text], strict=True) for i, c in enumerate(split_text(t or "", profile))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_id", "text"])
-
-    return docs.select(doc_id, text).mapInPandas(run, "doc_id long, chunk_id int, text string")
-
-
 def linked(df: DataFrame, doc_id: str = "doc_id", order: str = "chunk_id", item: str = "id") -> DataFrame:
     """prev_chunk_id and next_chunk_id within a document, empty at its ends (WN5, JN8)."""
     w = Window.partitionBy(doc_id).orderBy(order)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import chunking
+from lodestone.operators import profiles
 from lodestone.plans.registry import query, table
+from lodestone.plans.texts import documents_with_metadata
 
 _A = """a AS (SELECT conv_id, turn, text, CASE conv_id % 4 WHEN 0 THEN 'refuse' WHEN 1 THEN 'abstain' ELSE 'answer' END AS expected,
   text = '' OR length(text) < 80 OR regexp_matches(substr(lower(text), 1, 240), 'thonre|hend in') AS abstained FROM conversations WHERE role = 'assistant')"""
@@ -245,6 +246,5 @@ def metadata_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def chunk_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TF3: chunks with ids and links to their neighbours."""
-    c = chunking.chunks(table(spark, sf_dir, "documents"), chunking.Profile(size=120, overlap=20, least=8))
-    ids = c.withColumn("id", F.concat_ws("_", F.col("doc_id").cast("string"), F.col("chunk_id").cast("string")))
-    return chunking.linked(ids).select("id", "prev_chunk_id", "next_chunk_id")
+    c = profiles.chunked(documents_with_metadata(spark, sf_dir))
+    return c.select("id", "prev_chunk_id", "next_chunk_id")

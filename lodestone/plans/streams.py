@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import caching, graph
-from lodestone.plans.graphs import _NODES, raw_edges
+from lodestone.plans.graphs import _NODES, edges, nodes, raw_edges
 from lodestone.plans.registry import query, table
 from lodestone.plans.texts import _plain, _stream
 from lodestone.session import passing_path
+from lodestone.sources import graphml
 from lodestone.sources.versions import Unhealthy, Versions
 from lodestone.streaming import stateful, windows
+from lodestone.streaming.counters import RequestCounter, counters, mean
 
 # A request hits if fewer other keys than the cache holds were used since its own was used last.
 _LRU = """p AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY o1, o2) AS i FROM r),
@@ -152,3 +156,35 @@ def blue_green_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
     except Unhealthy:
         pass
     return log.read().groupBy("status").agg(F.count(F.lit(1)).alias("n")).withColumn("version", F.lit(version).cast("long"))
+
+
+@query(f"WITH {_NODES} SELECT head, relation, tail, CAST(weight AS DOUBLE) AS weight, (SELECT text FROM nodes1 WHERE node_id = head) AS head_text FROM edges1")
+def graphml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC15, SNK6: the graph written as GraphML and read back, with typed attributes and parallel edges."""
+    n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
+    path = passing_path(spark, "graphml")
+    graphml.write_graph(n.withColumnRenamed("node_id", "id"), e.withColumnsRenamed({"head": "source", "tail": "target"}), path)
+    found, links = graphml.read_graph(spark, path)
+    named = found.select(F.col("id").alias("source"), F.col("text").alias("head_text"))
+    return links.join(named, "source").select(F.col("source").alias("head"), "relation", F.col("target").alias("tail"), "weight", "head_text")
+
+
+@query("SELECT count(*) AS requests, count(*) FILTER (event_type = 'error') AS failures, round(avg(CASE WHEN event_type <> 'view' THEN value END), 6) AS mean, count(*) AS written FROM events")
+def request_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG52: counters that a stream observes while it is written, added up by a listener."""
+    seen = RequestCounter()
+    spark.streams.addListener(seen)
+    try:
+        latency = F.when(F.col("event_type") != "view", F.col("value"))
+        told = _stream(spark, sf_dir).observe(seen.name, *counters(latency, F.col("event_type") == "error"))
+        written = windows.drain(told.select("event_id"), "requests")
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        for _ in range(100):  # Python listeners are told a moment later
+            if seen.batches:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(seen)
+    c = seen.counts
+    row = spark.range(1).select(F.lit(c["requests"]).cast("long").alias("requests"), F.lit(c["failures"]).cast("long").alias("failures"), F.round(F.lit(mean(c)).cast("double"), 6).alias("mean"))
+    return row.join(F.broadcast(written.agg(F.count(F.lit(1)).alias("written"))), F.lit(True))  # one row each

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import rules
-from lodestone.operators import chunking
+from lodestone.functions import rules, tables
+from lodestone.operators import chunking, profiles
 from lodestone.plans.registry import query, table
 from lodestone.sources import html
 from lodestone.streaming import windows
@@ -100,10 +100,37 @@ def dedup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "copies")
 
 
+def documents_with_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with what an ingest knows of them: every fourth an answer, every third one a legal page, with headings inside."""
+    i = F.col("doc_id")
+    frame = F.array_join(F.array_compact(F.array(*[F.when((i + k) % 3 > 0, F.lit(x)) for k, x in enumerate(_FRAME)])), "\n")
+    text = F.when(i % 3 == 0, F.concat(frame, F.lit("\n"), F.replace("text", F.lit(". "), F.concat(F.lit(".\nĐiều "), i.cast("string"), F.lit(". "))))).otherwise(F.col("text"))
+    faq = F.when(i % 4 == 1, F.lit("overview"))
+    meta = F.map_filter(F.create_map(F.lit("source"), F.col("source"), F.lit("faq_type"), faq, F.lit("info_type"), F.when(i % 5 == 2, F.lit("school_policy"))), lambda k, v: v.isNotNull())
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.lit(None).cast("string").alias("text_plain"), F.when(i % 8 == 1, F.substring("text", 1, 200)).alias("summary"), meta.alias("metadata"))
+
+
 @query()
 def chunk_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TF1-TF3, FIL20, WN9: token-window chunks of every document."""
-    return chunking.chunks(table(spark, sf_dir, "documents"), chunking.Profile(size=120, overlap=20, least=8))
+    """TF1-TF3, FIL20, WN9: chunk rows of every document by its own profile."""
+    return profiles.chunked(documents_with_metadata(spark, sf_dir))
+
+
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'faq' WHEN doc_id % 5 = 2 OR doc_id % 3 = 0 THEN 'policy' ELSE 'auto' END AS profile FROM documents""")
+def profile_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TF2: by metadata, then by headings."""
+    return documents_with_metadata(spark, sf_dir).select("doc_id", profiles.profile_of(F.col("metadata"), F.col("text")).alias("profile"))
+
+
+@query()
+def table_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN24: answers with a table of two turns of a conversation in them, whose rows are whole, short, long or without a rule."""
+    t, i = F.col("text"), F.col("conv_id") + F.col("turn")
+    words = F.slice(F.split(t, " "), F.lit(1), F.lit(6))
+    row = lambda n: F.concat(F.lit("| "), F.array_join(F.slice(words, F.lit(1), n), " | "), F.lit(" |"))
+    rule = F.when(i % 4 > 0, F.lit("|---|:--|---|\n")).otherwise(F.lit(""))
+    answer = F.concat(t, F.lit("\n"), row(F.lit(3)), F.lit("\n"), rule, row((1 + i % 5).cast("int")), F.lit("\n"), row(F.lit(3)), F.lit("\nend"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", answer.alias("answer"), tables.repaired(answer).alias("repaired"))
 
 
 @query("SELECT conv_id, turn, length(text) AS n, md5(text) AS digest FROM conversations")

@@ -1,4 +1,4 @@
-"""Readers and writers of records, whole files and graphs (SRC1-7, SRC10, SRC15-17, SNK1-3, SNK6-9, SNK11)."""
+"""Readers and writers of records, whole files and graphs (SRC1-7, SNK1, SNK3, SNK6, SNK8, SNK9)."""
 
 from __future__ import annotations
 
@@ -63,12 +63,3 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def delete_by_id(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """df without the given ids, to be written to a new path (SNK9)."""
     return df.join(ids.select(key), key, "left_anti")
-
-
-def switch(spark: SparkSession, view: str, path: str) -> DataFrame:
-    """Points a view at a newly written table once that can be read and has rows; the old one stays until then (SNK11)."""
-    new = spark.read.parquet(path)
-    if new.isEmpty():
-        raise ValueError(f"{path} has no rows")
-    new.createOrReplaceTempView(view)
-    return new

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import bm25, chunking, filters, fusion, graph, knn, metrics
+from lodestone.operators import bm25, chunking, filters, fusion, graph, knn, metrics, profiles
 from lodestone.sources import files, html
 from lodestone.streaming import windows
 
@@ -161,12 +161,16 @@ def test_iou_and_streaks(spark):
 
 
 def test_chunks():
-    p = chunking.Profile(size=10, overlap=2, least=3)
-    assert chunking.split_text("một hai", p) == [] and chunking.split_text("a b c d", p) == ["a b c d"]
-    parts = chunking.split_text(". ".join(f"w{i} x y z" for i in range(8)), p)
+    p = profiles.Profile(10, 2, 3, (". ", " "))
+    assert profiles.windows("một hai", p) == ["một hai"] and profiles.windows("a b c d", p) == ["a b c d"]
+    parts = profiles.windows(". ".join(f"w{i} x y z" for i in range(8)), p)
     assert len(parts) > 2 and all(3 <= len(x.split()) <= 14 for x in parts)
-    legal = chunking.split_text("Điều 1 " + "a " * 8 + "\nĐiều 2 " + "b " * 8, p)
-    assert legal[0].startswith("Điều 1") and any("Điều 2" in x for x in legal)
+    # The tail joins parts by nothing; sizes are measured anew after an overflow.
+    assert parts[0] == "w0 x y z. w1 x y z" and parts[1] == "y z. w2 x y z. w3 x y z"
+    legal = profiles.windows("Điều 1 " + "a " * 8 + "\n\n\nĐiều 2 " + "b " * 8, p)
+    assert legal[0].startswith("Điều 1") and legal[1].startswith("a a\n\nĐiều 2")
+    assert profiles.windows("x" + " y" * 30, profiles.Profile(10, 0, 3, ("|",))) == ["x" + " y" * 30]
+    assert profiles.windows("a b\n\n" + "y " * 30, profiles.Profile(10, 0, 3, ("\n\n",))) == [("y " * 30).strip()]
 
 
 @pytest.mark.parametrize("text", ["", "x" * 95, "một câu. hai câu, và ba câu nữa thì sao? " * 4])
