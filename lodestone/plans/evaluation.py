@@ -20,10 +20,12 @@ g AS (SELECT tot.qid, n_relevant, {', '.join(f"count(rank) FILTER (rank <= {k})
 
 
 def _ir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "label")
-    gold = asked.join(e, "label").select("qid", F.col("vec_id").alias("item"))
-    return metrics.per_query(dense(spark, sf_dir, 10).withColumnRenamed("vec_id", "item"), gold, KS)
+    """Items of a query's own label are relevant: they are counted by label, and only those found are looked at one by one."""
+    e = table(spark, sf_dir, "embeddings").filter("label is not null").select("vec_id", "label")
+    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("own"))
+    sizes = e.groupBy(F.col("label").alias("own")).agg(F.count(F.lit(1)).alias("n_relevant"))
+    found = dense(spark, sf_dir, 10).select("qid", "vec_id", "rank").join(e, "vec_id").join(asked, "qid")
+    return metrics.per_marked(found.select("qid", "rank", (F.col("label") == F.col("own")).alias("hit")), asked.join(sizes, "own").select("qid", "n_relevant"), KS)
 
 
 def _means(prefix: str) -> list:

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from lodestone.operators import bm25, filters, fusion, knn
 from lodestone.plans.registry import query, table
 
-#: Texts of the ad-hoc queries; words that occur in the corpus.
-ASKED = [(1, "the and of the"), (2, "idiot trash"), (3, "was with that for")]
-
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query set of all searches: every row whose id is divisible by 50."""
@@ -21,9 +18,15 @@ def dense(spark: SparkSession, sf_dir: str, k: int, metric: str = "cosine") -> D
     return knn.nearest(_queries(spark, sf_dir), table(spark, sf_dir, "embeddings"), k, metric)
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set of text searches: the first user turn of each conversation whose number is divisible by 50."""
+    c = table(spark, sf_dir, "conversations").filter((F.col("conv_id") % 50 == 0) & (F.col("role") == "user"))
+    return c.groupBy(F.col("conv_id").alias("qid")).agg(F.min_by("text", "turn").alias("qtext"))
+
+
 def sparse(spark: SparkSession, sf_dir: str, k: int, legacy: bool = False) -> DataFrame:
     cut = bm25.long_tokens if legacy else bm25.tokens
-    asked = spark.createDataFrame(ASKED, "qid long, qtext string").select("qid", cut("qtext").alias("qwords"))
+    asked = _texts(spark, sf_dir).select("qid", cut("qtext").alias("qwords"))
     return bm25.search(table(spark, sf_dir, "documents").select("doc_id", cut("text").alias("words")), asked, k)
 
 
@@ -36,9 +39,8 @@ d AS (
 dr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM d)
 """
 _TOKENS = r"list_filter(regexp_split_to_array(lower({}), '\s+'), lambda w: w <> '')"
-_ASKED = ", ".join(f"({i}, '{t}')" for i, t in ASKED)
 _BM25 = rf"""
-q AS (SELECT CAST(qid AS BIGINT) AS qid, unnest({_TOKENS.format("t")}) AS term FROM (VALUES {_ASKED}) AS x(qid, t)),
+q AS (SELECT CAST(qid AS BIGINT) AS qid, unnest({_TOKENS.format("t")}) AS term FROM (SELECT conv_id AS qid, arg_min(text, turn) AS t FROM conversations WHERE conv_id % 50 = 0 AND role = 'user' GROUP BY conv_id)),
 qt AS (SELECT qid, term, count(*) AS times FROM q GROUP BY ALL),
 w AS (SELECT doc_id, {_TOKENS.format("text")} AS ws FROM documents),
 st AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM w),
@@ -104,7 +106,7 @@ def bm25_legacy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _HYBRID = f"""WITH {_DENSE}, {_BM25},
 one AS (SELECT qid, vec_id AS doc_id, rank FROM dr WHERE rank <= 20),
-two AS (SELECT o.qid, b.doc_id, b.rank FROM (SELECT DISTINCT qid FROM one) o JOIN br b ON b.qid = 1 + o.qid // 50 % 3 WHERE b.rank <= 20),
+two AS (SELECT qid, doc_id, rank FROM br WHERE rank <= 20 AND qid IN (SELECT qid FROM one)),
 f AS (SELECT qid, doc_id, coalesce({{0}} / (60 + one.rank), 0) + coalesce({{1}} / (60 + two.rank), 0) AS score FROM one FULL JOIN two USING (qid, doc_id)),
 fr AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, doc_id) AS rank FROM f)
 """
@@ -112,9 +114,8 @@ fr AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY r
 
 def _hybrid(spark: SparkSession, sf_dir: str, w_dense: float, w_sparse: float) -> DataFrame:
     one = dense(spark, sf_dir, 20).select("qid", F.col("vec_id").alias("doc_id"), "rank")
-    # Each vector goes with one of the asked texts.
-    asked = _queries(spark, sf_dir).select("qid", (1 + F.floor(F.col("qid") / 50) % 3).alias("t"))
-    two = sparse(spark, sf_dir, 20).withColumnRenamed("qid", "t").join(asked, "t").select("qid", "doc_id", "rank")
+    # Each vector goes with the text of the conversation of its number, if there is one.
+    two = sparse(spark, sf_dir, 20).join(_queries(spark, sf_dir).select("qid"), "qid", "left_semi").select("qid", "doc_id", "rank")
     fused = fusion.rrf([(one, w_dense), (two, w_sparse)])
     return fusion.ranked(fused.withColumn("_s", F.round("score", 12)), "_s").drop("_s")
 
@@ -175,12 +176,13 @@ def confidence_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("qid", F.round("confidence", 6).alias("confidence"))
 
 
-@query(f"WITH {_DENSE}, {_BM25}, a AS (SELECT max(score) AS d FROM dr WHERE qid = 100 AND rank <= 20), b AS (SELECT max(score) AS s FROM br WHERE qid = 1) SELECT round(0.4 * d + 0.3 * s + 0.3 / (1 + exp(0)), 6) AS confidence FROM a, b")
+@query(f"WITH {_DENSE}, {_BM25}, a AS (SELECT qid, max(score) AS d FROM dr WHERE rank <= 20 GROUP BY qid), b AS (SELECT qid, max(score) AS s FROM br GROUP BY qid) SELECT qid, round(0.4 * d + 0.3 * coalesce(s, 0) + 0.3 / (1 + exp(0)), 6) AS confidence FROM a LEFT JOIN b USING (qid)")
 def ensemble_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG39; without a re-ranker its part is that of a score of zero."""
-    a = dense(spark, sf_dir, 20).filter("qid = 100").agg(F.max("score").alias("d"))
-    b = sparse(spark, sf_dir, 1).filter("qid = 1").agg(F.max("score").alias("s"))
-    return a.crossJoin(b).select(F.round(fusion.ensemble_confidence(F.col("d"), F.col("s"), F.lit(None).cast("double")), 6).alias("confidence"))
+    """AG39, for each query; without a re-ranker its part is that of a score of zero."""
+    a = dense(spark, sf_dir, 20).groupBy("qid").agg(F.max("score").alias("d"))
+    b = sparse(spark, sf_dir, 1).groupBy("qid").agg(F.max("score").alias("s"))
+    both = a.join(b, "qid", "left").select("qid", "d", F.coalesce("s", F.lit(0.0)).alias("s"))
+    return both.select("qid", F.round(fusion.ensemble_confidence(F.col("d"), F.col("s"), F.lit(None).cast("double")), 6).alias("confidence"))
 
 
 @query("""WITH d AS (SELECT doc_id, source, text, 1.0 / (1 + doc_id % 9) AS base, ['the', 'and', 'thon'] AS q FROM documents)

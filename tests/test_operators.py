@@ -103,6 +103,29 @@ def test_knn_batch_equals_single(spark):
     assert len(batch) == 12
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_many_queries_go_over_a_grid(spark, monkeypatch, metric):
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 11), 1.0][: 3 - i % 2]) for i in range(120)] + [(999, None), (998, [])], "vec_id long, embedding array<float>")
+    q = v.filter("vec_id % 3 = 0 or vec_id > 900").selectExpr("vec_id qid", "embedding qvec")
+    told = lambda: {(r.qid, r["rank"]): (r.vec_id, round(r.score, 9)) for r in knn.nearest(q, v, 4, metric).collect()}
+    sent = told()
+    monkeypatch.setattr(knn, "BLOCK", 5)
+    monkeypatch.setattr(knn, "CELL", 17)
+    assert told() == sent and len(sent) == 160
+
+
+def test_bm25_reads_the_corpus_once_and_many_words_join(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", bm25.tokens("text").alias("words"))
+    asked = spark.createDataFrame([(1, "the and of nothingsuch the"), (2, ""), (3, None)], "qid long, t string").select("qid", bm25.tokens("t").alias("qwords"))
+    told = lambda df: {(r.qid, r.doc_id): (r["rank"], round(r.score, 9)) for r in df.collect()}
+    once = bm25.search(docs, asked, 5)
+    assert "documents.parquet" not in once._jdf.queryExecution().executedPlan().toString()
+    few = told(once)
+    monkeypatch.setattr(bm25, "WORDS", 1)
+    assert told(bm25.search(docs, asked, 5)) == few and len(few) == 5
+    assert bm25.search(docs.limit(0), asked, 5).collect() == []
+
+
 def test_pagerank(spark):
     nodes = spark.createDataFrame([(x,) for x in "abcd"], "node_id string")
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 3.0), ("b", "a", 1.0)], "head string, tail string, weight double")
