@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions import rules
+from lodestone.functions import rules, scope
 from lodestone.operators import fusion, metrics
 from lodestone.plans.registry import query, table
 from lodestone.plans.retrieval import _DENSE, dense
@@ -142,3 +142,44 @@ def chunks_of_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC21: a point read of one document's chunks."""
     t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("chunk_id"), "l_quantity")
     return tables.chunks_of(t, 7)
+
+
+# Questions with the programme that each names and whether it is out of scope.
+_SCOPED = [
+    ("Ngành Kinh Tế điểm chuẩn bao nhiêu", "Kinh Tế", True),
+    ("Điểm chuẩn ngành Luật năm 2026", "Luật", True),
+    ("Điểm chuẩn ngành Khoa học dữ liệu 2026", "Khoa học dữ liệu", False),
+    ("học phí bao nhiêu", None, False),
+    ("thời gian xét tuyển", None, False),
+    ("nganh kinh te hoc phi bao nhieu", "kinh te", True),
+    ("Ngành Y đa khoa điểm chuẩn", "Y đa khoa", True),
+    ("Học phí ngành Công nghệ thông tin", "Công nghệ", False),
+    ("ngành nào có học bổng", None, False),
+    ("học toán", None, False),
+    ("ngành Vũ trụ học là gì", "Vũ trụ học", True),
+    ("Khoa học dữ liệu điểm chuẩn", "học dữ liệu", False),
+    ("ký túc xá có không", None, False),
+]
+_OFFERED = ("khoa hoc du lieu", "cong nghe thong tin", "toan hoc", "hoa duoc")
+_REFUSED = ("kinh te", "luat", "đa khoa", "duoc hoc")
+_INTENT = ("hoc phi", "điem chuan", "ky tuc xa", "mien giam")
+
+
+@query(
+    "WITH s(k, phrase, out_of_scope) AS (VALUES " + ", ".join(f"({i}, {'NULL' if p is None else repr(p)}, {o})" for i, (_, p, o) in enumerate(_SCOPED)) + f") SELECT conv_id, turn, phrase, out_of_scope FROM conversations JOIN s ON k = (conv_id + turn) % {len(_SCOPED)}"
+)
+def scope_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN34, FN35: all turns, each behind a question; the programme that it names, and whether it is offered."""
+    asked = F.concat(F.get(F.array(*[F.lit(q) for q, *_ in _SCOPED]), ((F.col("conv_id") + F.col("turn")) % len(_SCOPED)).cast("int")), F.lit("? "), "text")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", asked.alias("text"))
+    return scope.decided(c, spark.createDataFrame([(w,) for w in _OFFERED], "word string"), _REFUSED, _INTENT).select("conv_id", "turn", "phrase", "out_of_scope")
+
+
+_KINDS = [("em?", "vague"), ("hotline của trường", "contact"), ("trường có ngành gì, có zalo", None), ("liệt kê các ngành", "listing"), ("CNTT hay luật", "comparison"), ("so sanh diem", "comparison"), ("haya", None), ("học phí", None), ("...", "vague")]
+
+
+@query("WITH s(k, kind) AS (VALUES " + ", ".join(f"({i}, {'NULL' if k is None else repr(k)})" for i, (_, k) in enumerate(_KINDS)) + f") SELECT doc_id, kind FROM documents JOIN s ON k = doc_id % {len(_KINDS)}")
+def router_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN32: a question for each document."""
+    asked = F.get(F.array(*[F.lit(q) for q, _ in _KINDS]), (F.col("doc_id") % len(_KINDS)).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", scope.asked_for(asked).alias("kind"))
