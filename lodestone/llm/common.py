@@ -59,15 +59,18 @@ def _files_freed(spark: SparkSession):
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, size: str):
-    """Meanwhile Python workers get batches of at most this size (a large row comes alone); the default is 64 MB."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    had = spark.conf.get(name)
-    spark.conf.set(name, size)
+def few_large_tasks(spark: SparkSession):
+    """Meanwhile Python workers get batches of at most 4 MB (a large row comes alone; the default is 64 MB), and adaptive
+    execution makes partitions of 64 MB, its default, so that tables of large rows aren't written as very many files."""
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m"}
+    had = {name: spark.conf.get(name) for name in wanted}
     try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(name, had)
+        for name, value in had.items():
+            spark.conf.set(name, value)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -77,11 +80,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    schema = df.schema
+    # Names that differ in case only can't be written, so columns are numbered in the files.
+    plain, names = df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns
     with _files_freed(spark):
-        df.write.parquet(path)
+        plain.write.parquet(path)
     _WRITTEN.append((spark, path))
-    out = spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(plain.schema).parquet(path).toDF(*names)
     out._lodestone_path = path
     return out
 

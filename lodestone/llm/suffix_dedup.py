@@ -9,14 +9,15 @@ length - v + 1 bytes, and only samples are ever sorted:
 2. Samples that repeat get their rank: the name of the context that holds every string they can be part of (v - 1 bytes
    before the window, v - 1 after it). Long ties are settled here: all strings around a sample whose context came
    earlier repeat, however long the match is.
-3. What is left are the first samples of a context in a bucket that holds other contexts too (where near copies part).
-   Only the strings around these are sorted themselves.
+3. What is left are the first samples of a context whose window stands in other contexts too (where near copies part, or
+   around common phrases). The strings around a sample fall into four ranges by where they start, and each range shares a
+   part of the context; only where that part meets another context too are the strings themselves sorted.
 
 Buckets are ranges of fingerprints, not of leading bytes: equal strings meet just as well, and common beginnings don't make
 large buckets. Each bucket is sorted by one task on its own; a bucket's size is fixed, and their number grows with the
-input. The last sorts can be done in several slices, one after the other, to bound the space on disk.
+input. The sort of names can be done in several slices, one after the other, to bound the space on disk.
 
-Texts lie in chunks of a few megabytes, in the order of documents. A chunk sends a bucket each fingerprint once, so a
+Texts lie in chunks of some hundred kilobytes, in the order of documents; at that size the JVM holds them like small objects. A chunk sends a bucket each fingerprint once, so a
 string that everyone shares costs one entry a chunk.
 """
 
@@ -31,12 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import drop_staged, pick, small_batches, staged
+from lodestone.llm.common import drop_staged, few_large_tasks, pick, staged
 
 #: Perfect difference sets: each nonzero residue is one difference of two members.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BLOCK = 1 << 18
+RANGES = 4
 CHUNK = "chunk long, ids array<long>, sizes array<long>, body binary"
 MARKED = pa.schema([("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("body", pa.binary()), ("bits", pa.binary()), ("hot", pa.binary())])
 SENT = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
@@ -122,6 +124,16 @@ class Samples:
         sides = (self.at - self.low).astype(np.uint64) * np.uint64(1 << 32) + (high - self.at).astype(np.uint64)
         return mixed(fingerprints(self.body, self.low, high, BASES[1]) + sides * np.uint64(BASES[0]))
 
+    def parts(self) -> list[np.ndarray]:
+        """For each of ranges(): 32 bits of what all strings share that start so far before the sample."""
+        start = self.low  # a context that is cut short on the left has no strings that start further left
+        return [fingerprints(self.body, np.maximum(self.at - a, start), np.minimum(self.at + self.length - b, self.end), BASES[1]).astype(np.uint32) for a, b in self.ranges()]
+
+    def ranges(self) -> list[tuple[int, int]]:
+        """How far before a sample strings start: all distances, in up to four ranges."""
+        cuts = np.unique(np.linspace(0, self.v, RANGES + 1).astype(int)).tolist()
+        return [(a, b - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def last(self) -> np.ndarray:
         """The last place at which a string that holds the sample's window can start."""
         return np.minimum(self.at, self.end - self.length)
@@ -149,14 +161,14 @@ class Distinct:
         """For each key whether it has several places here."""
         return np.bincount(self.of, minlength=len(self.first)) > 1
 
-    def rows(self, chunk: int, bits: int, slices: int = 1, at: int = 0) -> Iterator[tuple]:
-        """(chunk, bucket, 32 bits of each key, further words): one row for each bucket of a slice."""
+    def rows(self, chunk: int, bits: int, slices: int = 1, at: int = 0, more: list[np.ndarray] = ()) -> Iterator[tuple]:
+        """(chunk, bucket, 32 bits of each key and then of each of `more`, further words): one row for each bucket of a slice."""
         bucket = (self.key >> np.uint64(64 - bits)).astype(np.int64)
         rest = (self.key >> np.uint64(32 - bits)).astype(np.uint32)
         names, starts = np.unique(bucket, return_index=True)
         for b, i, j in zip(names.tolist(), starts, np.append(starts[1:], len(bucket))[: len(starts)], strict=True):
             if b % slices == at:
-                yield chunk, b, rest[i:j].tobytes(), b"" if self.also is None else self.also[i:j].tobytes()
+                yield chunk, b, b"".join(x[i:j].tobytes() for x in (rest, *more)), b"" if self.also is None else self.also[i:j].tobytes()
 
 
 def _packed(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -212,16 +224,20 @@ def _send_windows(length: int, bits: int):
     return run
 
 
-def _joined(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """chunks in order, the place where each one's entries start, and all entries' words."""
+def _joined(table: pa.Table) -> tuple[list[int], np.ndarray, list[np.ndarray], np.ndarray]:
+    """chunks in order, the place where each one's entries start, and all entries' words: columns of 32 bits, and one of 64."""
     table = table.sort_by("chunk")
     a, b = (table.column(c).to_pylist() for c in ("a", "b"))
-    starts = np.cumsum([0, *(len(x) // 4 for x in a)])
-    return table.column("chunk").to_pylist(), starts, np.frombuffer(b"".join(a), np.uint32), np.frombuffer(b"".join(b), np.uint64)
+    width = len(a[0]) * 2 // len(b[0]) if b[0] else 1
+    starts = np.cumsum([0, *(len(x) // 4 // width for x in a)])
+    columns = [np.frombuffer(x, np.uint32).reshape(width, -1) for x in a]
+    return table.column("chunk").to_pylist(), starts, [np.concatenate([c[i] for c in columns]) for i in range(width)], np.frombuffer(b"".join(b), np.uint64)
 
 
 def _answer(chunks: list[int], starts: np.ndarray, bucket: int, a: np.ndarray, b: np.ndarray) -> pa.Table:
-    rows = [(c, bucket, np.packbits(a[i:j]).tobytes(), np.packbits(b[i:j]).tobytes() if b[i:j].any() else b"") for c, i, j in zip(chunks, starts[:-1], starts[1:], strict=True)]
+    """A row for each chunk: a bit for each of its entries, and several if there is one."""
+    bits = lambda x: np.packbits(x).tobytes() if x.any() else b""
+    rows = [(c, bucket, np.packbits(a[i:j]).tobytes(), bits(b[..., i:j])) for c, i, j in zip(chunks, starts[:-1], starts[1:], strict=True)]
     return _packed(rows, SENT)
 
 
@@ -229,7 +245,7 @@ def _sort_windows(hot: int):
     """Which windows other chunks have too, and which of them at least `hot` chunks have."""
 
     def run(table: pa.Table) -> pa.Table:
-        chunks, starts, key, _ = _joined(table)
+        chunks, starts, (key,), _ = _joined(table)
         ordered = np.sort(key)
         twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         often = np.unique(ordered[hot - 1 :][ordered[hot - 1 :] == ordered[: len(ordered) - hot + 1]]) if hot <= len(ordered) else ordered[:0]
@@ -239,24 +255,27 @@ def _sort_windows(hot: int):
 
 
 def _sort_names(table: pa.Table) -> pa.Table:
-    """Which entries an earlier chunk has too, and which have a window that stands in several contexts."""
-    chunks, starts, key, name = _joined(table)
+    """Which entries an earlier chunk has too, and which parts of contexts stand in several contexts."""
+    chunks, starts, (key, *parts), name = _joined(table)
     order = np.lexsort((name, key))  # stable, so the first of equal ones is of the earliest chunk
     k, n = key[order], name[order]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    later, several = np.zeros(len(k), bool), np.zeros(len(k), bool)
-    later[order[1:]] = ~new[1:] & (n[1:] == n[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(k)) - 1
-    several[order] = np.repeat(n[first] != n[last], last - first + 1)
+    later, several = np.zeros(len(k), bool), np.zeros((len(parts), len(k)), bool)
+    later[order[1:]] = (k[1:] == k[:-1]) & (n[1:] == n[:-1])
+    for part, out in zip(parts, several, strict=True):
+        both = (key.astype(np.uint64) << np.uint64(32)) | part
+        order = np.lexsort((name, both))
+        x, n = both[order], name[order]
+        first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        last = np.append(first[1:], len(x)) - 1
+        out[order] = np.repeat(n[first] != n[last], last - first + 1)
     return _answer(chunks, starts, table.column("bucket")[0].as_py(), later, several)
 
 
-def _flags(rows: list[dict], which: str, counts: dict[int, int]) -> np.ndarray:
-    """A chunk's answers of all buckets, in the order in which it sent its keys."""
-    parts = [np.unpackbits(np.frombuffer(r[which], np.uint8), count=counts[r["bucket"]]) if r[which] else np.zeros(counts[r["bucket"]], np.uint8) for r in sorted(rows, key=lambda r: r["bucket"])]
-    return np.concatenate([*parts, np.zeros(0, np.uint8)]).astype(bool)
+def _flags(rows: list[dict], which: str, counts: dict[int, int], wide: int = 1) -> np.ndarray:
+    """A chunk's answers of all buckets, in the order in which it sent its keys; `wide` rows of them."""
+    plain = lambda r: np.unpackbits(np.frombuffer(r[which], np.uint8), count=wide * counts[r["bucket"]]) if r[which] else np.zeros(wide * counts[r["bucket"]], np.uint8)
+    parts = [plain(r).reshape(wide, -1) for r in sorted(rows, key=lambda r: r["bucket"])]
+    return np.concatenate([*parts, np.zeros((wide, 0), np.uint8)], axis=1).astype(bool)
 
 
 def _counts(key: np.ndarray, bits: int) -> dict[int, int]:
@@ -271,8 +290,8 @@ def _mark(length: int, bits: int):
         (row,), answers = left.to_pylist(), right.to_pylist()
         own = Distinct(Samples(row["body"], row["sizes"], length).windows())
         counts = _counts(own.key, bits)
-        again = (_flags(answers, "a", counts) | own.repeated())[own.of]
-        hot = _flags(answers, "b", counts)[own.of]
+        again = (_flags(answers, "a", counts)[0] | own.repeated())[own.of]
+        hot = _flags(answers, "b", counts)[0][own.of]
         return _packed([(row["chunk"], row["ids"], row["sizes"], row["body"], np.packbits(again).tobytes(), np.packbits(hot).tobytes() if hot.any() else b"")], MARKED)
 
     return run
@@ -297,7 +316,11 @@ def _send_names(length: int, bits: int, slices: int, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for chunk, sizes, body, marks, hot in _each(batches):
-                yield from _named(body, sizes, marks, hot, length)[1].rows(chunk, bits, slices, at)
+                samples, found, _ = _named(body, sizes, marks, hot, length)
+                firsts = np.sort(found.first)  # fingerprints need ascending places
+                back = np.searchsorted(firsts, found.first)
+                more = [p[back] for p in samples.only(firsts).parts()]
+                yield from found.rows(chunk, bits, slices, at, more)
 
         yield from _batches(rows(), SENT)
 
@@ -320,20 +343,23 @@ def _settle(length: int, bits: int):
         (row,), answers = left.to_pylist(), right.to_pylist()
         samples, found, often = _named(row["body"], row["sizes"], row["bits"], row["hot"], length)
         counts = _counts(found.key, bits)
-        later, several = _flags(answers, "a", counts), _flags(answers, "b", counts) | often
+        reach = samples.ranges()
+        (later,), several = _flags(answers, "a", counts), _flags(answers, "b", counts, len(reach)) | often
         lost = np.ones(len(samples.at), bool)
         lost[found.first] = later
-        open_ = np.zeros(len(lost), bool)
-        open_[found.first] = several & ~later
-        gone = samples.only(lost)
-        left_over = samples.only(open_)
-        places = ranges(left_over.low, left_over.last())
+        gone, places = samples.only(lost), []
+        for (near, far), flags in zip(reach, several, strict=True):
+            open_ = np.zeros(len(lost), bool)
+            open_[found.first] = flags & ~later
+            some = samples.only(open_)
+            places.append(ranges(np.maximum(some.low, some.at - far), np.minimum(some.last(), some.at - near)))
+        places = np.unique(np.concatenate(places))
         strings = Distinct(*(fingerprints(samples.body, places, places + length, base) for base in BASES))
         again = np.ones(len(places), bool)
         again[strings.first] = False
         low, high = np.concatenate([gone.low, places[again]]), np.concatenate([gone.last(), places[again]]) + length
         merged = np.stack(_merged(low, high, np.cumsum(row["sizes"])))
-        own = (row["chunk"], OWN, merged.astype(np.int64).tobytes(), places[strings.first].astype(np.int64).tobytes())
+        own = (row["chunk"], OWN, merged.astype(np.uint32).tobytes(), places[strings.first].astype(np.uint32).tobytes())
         return _packed([own, *strings.rows(row["chunk"], bits)], SENT)
 
     return run
@@ -357,9 +383,10 @@ def _cut(length: int, bits: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         (row,), answers = left.to_pylist(), right.to_pylist()
         own = next(r for r in answers if r["bucket"] == OWN)
-        runs, places = np.frombuffer(own["a"], np.int64).reshape(2, -1), np.frombuffer(own["b"], np.int64)
+        runs, places = (np.frombuffer(own[c], np.uint32).astype(np.int64) for c in "ab")  # a chunk has under 2 GB
+        runs = runs.reshape(2, -1)
         rest = sorted((r for r in answers if r["bucket"] != OWN), key=lambda r: r["bucket"])
-        later = places[_flags(rest, "a", {r["bucket"]: r["n"] for r in rest})]
+        later = places[_flags(rest, "a", {r["bucket"]: r["n"] for r in rest})[0]]
         ends = np.cumsum(row["sizes"])
         low, high = _merged(np.concatenate([runs[0], later]), np.concatenate([runs[1], later + length]), ends)
         cuts = np.searchsorted(low, np.concatenate([[0], ends]))
@@ -374,7 +401,7 @@ def _cut(length: int, bits: int):
     return run
 
 
-def dedup_bytes(docs: DataFrame, length: int = 100, chunk_bytes: int = 2 << 20, bucket_keys: int = 2 << 20, slices: int = 2, hot: int = 1 << 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = 100, chunk_bytes: int = 240 << 10, bucket_keys: int = 8 << 20, slices: int = 1, hot: int = 1 << 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, kept (binary), n_bytes, starts and lengths of the maximal removed runs: one row per row of docs.
 
     Texts are UTF-8 bytes. A byte goes if it lies in a string of `length` bytes that also starts earlier: in a document of
@@ -393,12 +420,12 @@ def dedup_bytes(docs: DataFrame, length: int = 100, chunk_bytes: int = 2 << 20,
     rows = pick(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     order = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", F.col("text").cast("binary").alias("text"))
-    with small_batches(spark, "4m"):
+    with few_large_tasks(spark):
         plain = staged(ranged.mapInArrow(_chunks(chunk_bytes), CHUNK), "chunks")
         v, cover = cover_for(length)
         total = plain.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        bits = min(30, max(1, int(np.ceil(np.log2(max(2 * parts, total * len(cover) / v / bucket_keys))))))
+        bits = min(30, max(1, int(np.ceil(np.log2(max(parts, total * len(cover) / v / bucket_keys))))))
 
         def sort(sent: DataFrame, by) -> DataFrame:
             return sent.groupBy("bucket").applyInArrow(by, SENT_SQL)
@@ -415,15 +442,16 @@ def dedup_bytes(docs: DataFrame, length: int = 100, chunk_bytes: int = 2 << 20,
         drop_staged(*parts_of)
         strings = sent.filter(F.col("bucket") != OWN)
         later = sort(strings, _sort_names).join(strings.select("chunk", "bucket", (F.length("a") / 4).cast("int").alias("n")), ["chunk", "bucket"])
-        later = staged(later.select("chunk", "bucket", "a", "b", "n"), "later")
-    own = sent.filter(F.col("bucket") == OWN).withColumn("n", F.lit(0))
-    return each(marked.select("chunk", "ids", "sizes", "body"), own.unionAll(later), _cut(length, bits), "doc_id long, kept binary, n_bytes long, starts array<long>, lengths array<long>")
+        own = sent.filter(F.col("bucket") == OWN).withColumn("n", F.lit(0))
+    return each(marked.select("chunk", "ids", "sizes", "body"), own.unionAll(later.select(*own.columns)), _cut(length, bits), "doc_id long, kept binary, n_bytes long, starts array<long>, lengths array<long>")
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of dedup_bytes()."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of dedup_bytes(), as a table of its own: what is kept isn't copied."""
     removed = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    told = found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    with few_large_tasks(found.sparkSession):
+        return staged(told, "digests")
 
 
 ORACLE_SQL = """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from lodestone.llm import decontamination, simhash
+from lodestone.llm.common import staged
 from test_other_operators import slow_fingerprint
 from test_text_operators import brute_containment, brute_lines
 
@@ -57,12 +58,28 @@ def test_stages_on_the_smallest_tables(spark, sf_dir):
     assert {r.doc_id for r in packed} == texts.keys() - found and max(r.offset + r.length for r in packed) <= 2048
 
 
+ODD = [(1, None), (2, ""), (3, "x"), (3, "x"), (None, "some words of a text without an id"), (4, "y " * 50_000), (5, "some words of a text without an id")]
+
+
 def test_stages_on_odd_tables(spark, sf_dir):
-    rows = [(1, None), (2, ""), (3, "x"), (3, "x"), (None, "some words of a text without an id"), (4, "y " * 50_000)]
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, table(spark, rows), sf_dir)
-        assert out.count() >= 0
-        assert stage(spark, table(spark, []), sf_dir).isEmpty(), name
+    """Nulls, empty and very long texts, repeated rows, a missing id and clashing names: each stage gives back rows as they were."""
+    rows = [(i, t, "en", "src", len(t or ""), "other", 7) for i, t in ODD]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, TEXT string, score int")
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = staged(stage(spark, df, sf_dir), name)
+        assert out.columns == df.columns and stage(spark, df.limit(0), sf_dir).isEmpty(), name
+        told = [(r[0], r[2:4], r[5:]) for r in out.collect()]
+        assert {x[1:] for x in told} == {(("en", "src"), ("other", 7))}, name
+    short = sorted((r[0] or 0, r[1] or "", r[4]) for r in stages["line_dedup"](spark, df, sf_dir).collect())
+    # Equal rows stay alike; the one without an id counts as the last, so its line is the repeated one.
+    assert [(i, t) for i, t, _ in short] == [(0, ""), (1, ""), (2, ""), (3, "x"), (3, "x"), (4, "y " * 50_000), (5, ODD[-1][1])]
+    assert all((n or 0) == len(t) for _, t, n in short)
+    near = sorted((r[0] or 0) for r in stages["near_dedup"](spark, df, sf_dir).collect())
+    assert near == [1, 3, 3, 4, 5]  # texts without words are one group, and so are equal texts
+    assert sorted((r[0] or 0) for r in stages["decontamination"](spark, df, sf_dir).collect()) == [0, 1, 2, 3, 3, 4, 5]
+    packed = stages["packing"](spark, df, sf_dir).collect()
+    assert {r.doc_id for r in packed} == {1, 2, 3, None, 4, 5} and max(r.offset + r.length for r in packed) <= 2048
 
 
 def test_near_copies_of_four_fifths_go(spark, sf_dir):
