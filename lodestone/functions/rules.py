@@ -33,10 +33,15 @@ def _trim(text: str | Column) -> Column:
     return F.btrim(text, F.lit(BLANK))
 
 
+def _any(*patterns: str) -> str:
+    """One pattern for several, so that a line is read once."""
+    return FOLD + "|".join(f"(?:{p})" for p in patterns)
+
+
 def legal_line(line: str | Column, rules: tuple[tuple[str, str, str], ...] = LEGAL) -> Column:
     """A trimmed line of a legal text as Markdown, by the first rule that matches (FN4)."""
     t = _trim(line)
-    out = F.when(F.lit(False), t)
+    out = F.when(~t.rlike(_any(*[p for p, _, _ in rules])), t)  # most lines are of no kind, which one pattern tells
     for pattern, before, after in rules:
         out = out.when(t.rlike(FOLD + pattern), F.concat(F.lit(before), t, F.lit(after)))
     return out.otherwise(t)
@@ -44,13 +49,13 @@ def legal_line(line: str | Column, rules: tuple[tuple[str, str, str], ...] = LEG
 
 def legal_heading(line: Column) -> Column:
     """Whether a trimmed line is a heading of a legal text (FIL14)."""
-    return reduce(lambda a, b: a | b, [line.rlike(FOLD + p) for p in LEGAL_HEADING])
+    return line.rlike(_any(*LEGAL_HEADING))
 
 
 def header_footer(line: Column) -> Column:
     """Whether a trimmed line heads or foots a page: its number, the document's, place and date, or the motto (FIL14)."""
     upper = F.upper(line)
-    return line.rlike(FOLD + PAGE) | line.rlike(NUMBER) | line.rlike(FOLD + PLACE_DATE) | reduce(lambda a, b: a | b, [F.contains(upper, F.lit(m)) for m in MOTTO])
+    return line.rlike(_any(PAGE, PLACE_DATE)) | line.rlike(NUMBER) | reduce(lambda a, b: a | b, [F.contains(upper, F.lit(m)) for m in MOTTO])
 
 
 def stripped(text: Column) -> Column:

@@ -34,7 +34,8 @@ def without_boilerplate(docs: DataFrame, times: int = 3, doc_id: str = "doc_id",
     ordered = split.withColumn("_sorted", F.sort_array("_lines"))
     again = F.filter("_sorted", lambda x, i: x == F.get("_sorted", i + (times - 1)))
     found = ordered.withColumn("_often", F.when(F.size("_sorted") >= times, F.array_distinct(again)).otherwise(F.slice("_sorted", 1, 0)))
-    kept = found.withColumn("_kept", F.filter("_lines", lambda x: ~rules.header_footer(x) & (~F.array_contains("_often", x) | rules.legal_heading(x))))
+    often = F.filter("_lines", lambda x: ~rules.header_footer(x) & (~F.array_contains("_often", x) | rules.legal_heading(x)))
+    kept = found.withColumn("_kept", F.when(F.size("_often") > 0, often).otherwise(F.filter("_lines", lambda x: ~rules.header_footer(x))))
     told = F.transform("_kept", lambda x, i: F.concat(F.when(rules.legal_heading(x) & (i > 0), "\n").otherwise(""), rules.legal_line(x)))
     out = kept.withColumn("legal", F.coalesce(F.exists("_kept", rules.legal_heading), F.lit(False)))
     return out.withColumn(text, F.array_join(told, "\n")).drop("_lines", "_sorted", "_often", "_kept")
