@@ -80,12 +80,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    # Names that differ in case only can't be written, so columns are numbered in the files.
-    plain, names = df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns
+    # Names that differ in case only can't be written, so then columns are numbered in the files.
+    names = df.columns
+    alike = len({n.lower() for n in names}) < len(names)
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))]) if alike else df
     with _files_freed(spark):
         plain.write.parquet(path)
     _WRITTEN.append((spark, path))
-    out = spark.read.schema(plain.schema).parquet(path).toDF(*names)
+    out = spark.read.schema(plain.schema).parquet(path)
+    out = out.toDF(*names) if alike else out
     out._lodestone_path = path
     return out
 
