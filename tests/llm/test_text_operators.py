@@ -200,6 +200,16 @@ def test_similar_lines_of_very_many_words(spark):
             assert got == {1: (1, True), 2: (1, False), 3: (0, True)}, (a, b)
 
 
+def test_lines_of_very_many_words_just_at_the_threshold(spark):
+    """One set has too many words for its position to be told, the other hasn't: at 0.8 no shared word may be lost."""
+    words = [f"v{i}" for i in range(75_000)]
+    for a, b in ((75_000, 60_000), (60_000, 75_000)):
+        rows = [(1, " ".join(words[:a])), (2, " ".join(words[:b])), (3, " ".join([*words[:59_999], "x"]))]
+        got = {r.doc_id: (r.n_links, r.kept) for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+        # 3 is like the set of 60,000, and just not like that of 75,000; it goes with either in front.
+        assert got == ({1: (1, True), 2: (1, False), 3: (0, False)} if a > b else {1: (2, True), 2: (1, False), 3: (1, False)})
+
+
 def test_many_rows_of_one_id_keep_one_copy_of_a_line(spark):
     """Far more texts than the bits of a hash by which places are ordered can tell apart without fail, all with one line in common."""
     from pyspark.sql import functions as F
