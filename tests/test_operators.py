@@ -7,6 +7,7 @@ import unicodedata
 
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,38 @@ def test_bm25_reads_the_corpus_once_and_many_words_join(spark, sf_dir, monkeypat
     assert bm25.search(docs.limit(0), asked, 5).collect() == []
 
 
+def test_bm25_keeps_no_pairs_of_queries_and_documents(spark, monkeypatch):
+    """Each document has a word of each query: what is kept, and shuffled, is k rows of a query and task, in one block or many."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(600, numPartitions=3).select(F.col("id").alias("doc_id"), F.array(F.lit("a"), F.concat(F.lit("b"), F.col("id") % 7), F.concat(F.lit("c"), F.col("id") % 50), F.lit("a")).alias("words"))
+    docs = docs.unionByName(spark.createDataFrame([(None, ["b1", "c1"]), (1000, None), (1001, []), (1002, [None, "a"])], "doc_id long, words array<string>"))
+    asked = spark.range(40).select(F.col("id").alias("qid"), F.array(F.lit("a"), F.concat(F.lit("b"), F.col("id") % 7), F.concat(F.lit("c"), F.col("id"))).alias("qwords"))
+    paths, path = [], bm25.passing_path
+    monkeypatch.setattr(bm25, "passing_path", lambda s, name: paths.append(path(s, name)) or paths[-1])
+    told = lambda: sorted((r.qid, r["rank"], -1 if r.doc_id is None else r.doc_id, round(r.score, 9)) for r in bm25.search(docs, asked, 3).collect())
+    one = told()
+    kept = [spark.read.parquet(p) for p in paths if p.rsplit("/", 1)[1].startswith("bm25-") and not p.rsplit("/", 1)[1].startswith("bm25-words")]
+    assert sum(t.count() for t in kept) <= 40 * 3 * docs.rdd.getNumPartitions()
+    tf = [(r.doc_id, [w for w in r.words or [] if w]) for r in docs.collect()]
+    n, avgdl = len(tf), sum(len(w) for _, w in tf) / len(tf)
+    df = {t: sum(t in w for _, w in tf) for t in {t for _, w in tf for t in w}}
+    raw = {t: math.log(n - d + 0.5) - math.log(d + 0.5) for t, d in df.items()}
+    mean = sum(raw.values()) / len(raw)
+    idf = {t: x if x >= 0 else 0.25 * mean for t, x in raw.items()}
+    want = []
+    for r in asked.collect():
+        each = [(sum(idf[t] * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / avgdl)) for t in r.qwords), -1 if i is None else i) for i, w in tf]
+        best = sorted((-round(s, 9), i) for s, i in each if s > 0)[:3]
+        want += [(r.qid, k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    assert [x[:3] for x in one] == [x[:3] for x in sorted(want)] and [x[3] for x in one] == pytest.approx([x[3] for x in sorted(want)])
+    monkeypatch.setattr(bm25, "WORDS", 25)
+    assert told() == one
+    batch = pa.RecordBatch.from_pydict({"words": [["a"] * n for n in (0, 3, 0, 900, 2, 2, 0)]})
+    monkeypatch.setattr(bm25, "PORTION", 4)
+    assert [[len(w) for w in b.column(0).to_pylist()] for b in bm25._portions(iter([batch.slice(1)]))] == [[3, 0], [900], [2, 2, 0]]
+
+
 def test_pagerank(spark):
     nodes = spark.createDataFrame([(x,) for x in "abcd"], "node_id string")
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 3.0), ("b", "a", 1.0)], "head string, tail string, weight double")
