@@ -19,6 +19,8 @@ POLICY = r"(?m)^(PHẦN|CHƯƠNG|MỤC|Điều|Khoản)\s+"
 # Ranks of legal headings, the highest first.
 LEVELS = ("phần", "chương", "mục", "điều", "khoản")
 WORD = re.compile(r"\w+")
+#: Rows that are read as Python objects at once, and characters of chunks that a task holds before it gives them on.
+ROWS, HELD = 16, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -138,18 +140,23 @@ def chunked(docs: DataFrame, profiles: dict[str, Profile] | None = None, profile
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "text_plain", "summary", meta["source"].alias("source"), name.alias("profile"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                own = known[row["profile"]]
-                text = next((row[c] for c in own.prefer if row[c]), "")
-                above: list[str] = []
-                parts = windows(text, own) if text.strip() else []
-                for i, chunk in enumerate(parts):
-                    named = SECTION.search(chunk)
-                    crumbs = [x for x in (row["source"], named and named[0]) if x]
-                    out.append({"doc_id": row["doc_id"], "chunk_id": i, "text": chunk, "profile": row["profile"], "breadcrumbs": crumbs, "sections": above, "sparse_terms": terms(chunk), "n_chunks": len(parts)})
-                    above = open_sections(chunk, above)
+        out, held = [], 0
+        # A few rows are Python objects at a time, and chunks go as soon as they are many.
+        for row in (r for batch in batches for i in range(0, batch.num_rows, ROWS) for r in batch.slice(i, ROWS).to_pylist()):
+            own = known[row["profile"]]
+            text = next((row[c] for c in own.prefer if row[c]), "")
+            above: list[str] = []
+            parts = windows(text, own) if text.strip() else []
+            for i, chunk in enumerate(parts):
+                named = SECTION.search(chunk)
+                crumbs = [x for x in (row["source"], named and named[0]) if x]
+                out.append({"doc_id": row["doc_id"], "chunk_id": i, "text": chunk, "profile": row["profile"], "breadcrumbs": crumbs, "sections": above, "sparse_terms": terms(chunk), "n_chunks": len(parts)})
+                above = open_sections(chunk, above)
+                held += len(chunk)
+                if held >= HELD:
+                    yield pa.RecordBatch.from_pylist(out, CHUNKS)
+                    out, held = [], 0
+        if out:
             yield pa.RecordBatch.from_pylist(out, CHUNKS)
 
     cut = rows.mapInArrow(run, CHUNKS_SQL)

@@ -159,6 +159,19 @@ def test_bm25_keeps_no_pairs_of_queries_and_documents(spark, monkeypatch):
     assert [[len(w) for w in b.column(0).to_pylist()] for b in bm25._portions(iter([batch.slice(1)]))] == [[3, 0], [900], [2, 2, 0]]
 
 
+def test_chunks_are_given_on_before_they_are_many(spark, monkeypatch):
+    """A task holds few rows and chunks as Python objects, whatever the batch."""
+    kind, taken = type(spark.range(1)), []
+    write = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, run, *more: taken.append(run) or write(self, run, *more))
+    profiles.chunked(spark.createDataFrame([], "doc_id long, text string, text_plain string, summary string, metadata map<string,string>"))
+    rows = [{"doc_id": str(i), "text": f"w{i} " * 1000, "text_plain": None, "summary": None, "source": "s", "profile": "auto"} for i in range(900)]
+    out = list(taken[0](iter([pa.RecordBatch.from_pylist(rows[:700]), pa.RecordBatch.from_pylist(rows[700:])])))
+    sizes = [sum(map(len, b.column("text").to_pylist())) for b in out]
+    assert len(sizes) > 3 and max(sizes) < profiles.HELD + 10_000
+    assert list(dict.fromkeys(i for b in out for i in b.column("doc_id").to_pylist())) == [r["doc_id"] for r in rows]
+
+
 def test_pagerank(spark):
     nodes = spark.createDataFrame([(x,) for x in "abcd"], "node_id string")
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 3.0), ("b", "a", 1.0)], "head string, tail string, weight double")
