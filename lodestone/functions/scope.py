@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.functions.rules import any_of, stripped
-from lodestone.functions.text import FOLD
+from lodestone.functions.text import BLANK, FOLD
 from lodestone.operators import matching
+from lodestone.session import passing_path
 
 # Letters of a name, and what stands at its ends.
 NAME, MARKS = r"[A-Za-zÀ-ỹĐđ\-\s]", r"^[ ,.;:?!]+|[ ,.;:?!]+$"
@@ -70,20 +71,31 @@ def _candidates(q: Column, words: Words) -> list[Column]:
     ]
 
 
-def _is_name(phrase: Column, words: Words) -> Column:
+def _is_name(phrase: Column, folded: Column, words: Words) -> Column:
     """Whether a phrase can name a programme: a word of three letters, no question, no word of admission."""
-    f = T.fold(phrase)
-    long_ = F.exists(F.split(f, r"[\s,;:/()\-]+"), lambda w: F.length(w) >= 3)
-    return (F.length(phrase) >= 3) & f.rlike(r"\p{L}") & long_ & ~f.isin(*words.no_names, *words.short, *words.admission) & ~f.rlike(FOLD + ASKING)
+    long_ = F.exists(F.split(folded, r"[\s,;:/()\-]+"), lambda w: F.length(w) >= 3)
+    return (F.length(phrase) >= 3) & folded.rlike(r"\p{L}") & long_ & ~folded.isin(*words.no_names, *words.short, *words.admission) & ~folded.rlike(FOLD + ASKING)
 
 
-def major_phrase(text: str | Column, words: Words | None = None) -> Column:
-    """The programme that a question names, as it is written there, or null: by the first of four patterns whose phrase can be
-    a name (FN34). Questions about procedures name none, and neither do short words alone."""
+def named(questions: DataFrame, text: str = "text", words: Words | None = None) -> DataFrame:
+    """questions with `phrase`, the programme that a question names, as it is written there, or null: by the first of four patterns
+    whose phrase can be a name (FN34); `_folded`, the folded text, and `_f`, the folded phrase. Questions about procedures name none, and
+    neither do short words alone.
+
+    Each step has columns of its own, so that a pattern is matched once a row, and a row's phrases and text are folded at once.
+    """
     known = words or Words()
-    q = stripped(F.col(text) if isinstance(text, str) else text)
-    found = F.coalesce(*[F.when(_is_name(c, known), c) for c in _candidates(q, known)])
-    return F.when(~q.rlike(FOLD + PROCESS) & ~T.fold(q).isin(*known.short), found)
+    found = questions.withColumn("_s", stripped(F.col(text)))
+    found = found.withColumns({f"_c{i}": c for i, c in enumerate(_candidates(F.col("_s"), known))})
+    each = [F.col(f"_c{i}") for i in range(4)]
+    # Phrases have letters, hyphens and white space only, so a zero character parts them; the text comes last.
+    found = found.withColumn("_all", F.split(T.fold(F.concat_ws("\0", *each, F.coalesce("_s", F.lit("")))), "\0", 5))
+    parts = [F.btrim(F.get("_all", F.lit(i)), F.lit(BLANK)) for i in range(5)]
+    found = found.withColumns({"_fs": F.array(*parts[:4]), "_folded": F.when(F.col("_s").isNotNull(), parts[4])})
+    allowed = ~F.col("_s").rlike(FOLD + PROCESS) & ~F.col("_folded").isin(*known.short)
+    first = F.coalesce(*[F.when(_is_name(c, F.get("_fs", F.lit(i)), known), F.lit(i)) for i, c in enumerate(each)])
+    found = found.withColumn("_first", F.when(allowed, first))
+    return found.withColumns({"phrase": F.get(F.array(*each), F.col("_first")), "_f": F.get("_fs", F.col("_first"))}).drop("_s", "_all", "_fs", "_first", "_c0", "_c1", "_c2", "_c3")
 
 
 def decided(questions: DataFrame, offered: DataFrame, refused: tuple[str, ...], admission: tuple[str, ...], text: str = "text", word: str = "word", words: Words | None = None) -> DataFrame:
@@ -93,11 +105,18 @@ def decided(questions: DataFrame, offered: DataFrame, refused: tuple[str, ...],
     words. Out of scope is a question with a refused word, unless its phrase is offered, and one whose phrase isn't offered. In
     scope is one about any programme, about a procedure or about admission that names no programme. Null texts are in scope.
     """
-    q = F.col(text)
-    named = questions.withColumn("phrase", major_phrase(q, words)).withColumn("_f", T.fold("phrase"))
-    known = matching.either_way(named.select(F.col("_f").alias("phrase")), offered.select(F.col(word).alias("word"))).select(F.col("phrase").alias("_known"))
-    joined = named.join(known, F.col("_f") == F.col("_known"), "left")
-    none, is_known, folded = F.col("phrase").isNull(), F.col("_known").isNotNull(), T.fold(q)
-    spared = q.rlike(FOLD + ANY) | (q.rlike(FOLD + PROCESS) & none) | (any_of(folded, admission) & (none | F.col("_f").isin(*(words or Words()).admission)))
-    out = F.when(spared, False).when(any_of(folded, refused), ~is_known).when(none, False).otherwise(any_of(F.col("_f"), refused) | ~is_known)
-    return joined.withColumn("out_of_scope", F.coalesce(out, F.lit(False))).drop("_f", "_known")
+    known, spark = words or Words(), questions.sparkSession
+    numbered = questions.toDF(*[f"_q{i}" for i in range(len(questions.columns))])
+    own = f"_q{questions.columns.index(text)}"
+    q, folded = F.col(own), F.col("_folded")
+    told = named(numbered, own, known).withColumns({"_any": q.rlike(FOLD + ANY), "_process": q.rlike(FOLD + PROCESS), "_about": any_of(folded, admission), "_refuses": any_of(folded, refused)}).drop("_folded")
+    # Phrases are read twice, so what patterns tell of the texts is written first.
+    path = passing_path(spark, "questions")
+    told.write.parquet(path)
+    told = spark.read.schema(told.schema).parquet(path)
+    listed = matching.either_way(told.select(F.col("_f").alias("phrase")), offered.select(F.col(word).alias("word"))).select(F.col("phrase").alias("_known"))
+    joined = told.join(listed, F.col("_f") == F.col("_known"), "left")
+    none, is_known = F.col("phrase").isNull(), F.col("_known").isNotNull()
+    spared = F.col("_any") | (F.col("_process") & none) | (F.col("_about") & (none | F.col("_f").isin(*known.admission)))
+    out = F.when(spared, False).when(F.col("_refuses"), ~is_known).when(none, False).otherwise(any_of(F.col("_f"), refused) | ~is_known)
+    return joined.select(*numbered.columns, "phrase", F.coalesce(out, F.lit(False))).toDF(*questions.columns, "phrase", "out_of_scope")

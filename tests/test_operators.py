@@ -191,6 +191,20 @@ def test_chunks_are_given_on_before_they_are_many(spark, monkeypatch):
     assert list(dict.fromkeys(i for b in out for i in b.column("doc_id").to_pylist())) == [r["doc_id"] for r in rows]
 
 
+def test_scope_is_told_once_a_text(spark):
+    """Texts and phrases are folded in one step of one job, and the decision reads what it wrote."""
+    from lodestone.functions import scope
+
+    rows = [(1, "Ngành Kinh Tế điểm chuẩn"), (2, "học phí ngành Khoa học dữ liệu"), (3, "học toán"), (4, None), (5, "")]
+    asked = spark.createDataFrame(rows, "id int, text string")
+    offered = spark.createDataFrame([("khoa hoc du lieu",)], "word string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(scope.named(asked)).count("EvalPython") == 1
+    out = scope.decided(asked, offered, ("kinh te",), ("hoc phi",))
+    assert "EvalPython" not in plan(out)
+    assert sorted((r.id, r.phrase, r.out_of_scope) for r in out.collect()) == [(1, "Kinh Tế", True), (2, "Khoa học dữ liệu", False), (3, None, False), (4, None, False), (5, None, False)]
+
+
 def test_pagerank(spark):
     nodes = spark.createDataFrame([(x,) for x in "abcd"], "node_id string")
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 3.0), ("b", "a", 1.0)], "head string, tail string, weight double")
