@@ -210,6 +210,32 @@ def test_lines_of_very_many_words_just_at_the_threshold(spark):
         assert got == ({1: (1, True), 2: (1, False), 3: (0, False)} if a > b else {1: (2, True), 2: (1, False), 3: (1, False)})
 
 
+def test_join_of_postings_can_be_compiled(spark, sf_dir, monkeypatch, capsys):
+    """The JVM never compiles a method of over 8,000 bytes; the join that tests all pairs must stay well below."""
+    import re
+
+    joined, told = line_dedup._joined, []
+
+    def seen(classes, num, den):
+        with monkeypatch.context() as m:
+            m.setattr(line_dedup, "staged", lambda df, name: df)
+            had = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+            try:
+                for k, v in zip(had, ("false", "-1"), strict=True):
+                    spark.conf.set(k, v)
+                capsys.readouterr()
+                joined(classes, num, den).explain("codegen")
+            finally:
+                for k, v in had.items():
+                    spark.conf.set(k, v)
+        told.extend(map(int, re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)))
+        return joined(classes, num, den)
+
+    monkeypatch.setattr(line_dedup, "_joined", seen)
+    line_dedup.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert told and max(told) < 6000
+
+
 def test_many_rows_of_one_id_keep_one_copy_of_a_line(spark):
     """Far more texts than the bits of a hash by which places are ordered can tell apart without fail, all with one line in common."""
     from pyspark.sql import functions as F
