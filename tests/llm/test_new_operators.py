@@ -190,3 +190,26 @@ def test_words_of_one_key_are_compared_as_strings(spark, monkeypatch):
     [batch] = list(spelling._send(1)(iter([pa.RecordBatch.from_pydict({"word": words, "n": [5, 4, 3, 2, 1]})])))
     out = spelling._group(pa.Table.from_batches([batch])).to_pylist()
     assert {r["word"]: (r["n_near"], r["form"]) for r in out} == {"abc": (2, "abd"), "abd": (2, "abc"), "ab": (2, "abc"), "xyz": (1, "xyzz"), "xyzz": (1, "xyz")}
+
+
+def test_tables_of_large_rows_are_read_and_written_in_small_parts(spark):
+    """Row groups of such tables are what a writer holds, and batches are what a reader holds: neither may be a whole file."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    from lodestone.llm.common import drop_staged, few_large_tasks, staged
+
+    names = ("spark.sql.parquet.columnarReaderBatchSize", "parquet.block.size")
+    before = [spark.conf.get(n, None) for n in names]
+    with few_large_tasks(spark):
+        assert int(spark.conf.get(names[0])) * (240 << 10) <= 8 << 20
+        wide = spark.range(0, 200, 1, 1).selectExpr("id", "cast(array_join(transform(sequence(1, 4000), x -> sha2(string(id * 4000 + x), 256)), '') as binary) body")
+        made = staged(wide, "wide")
+        files = list(Path(made._lodestone_path.removeprefix("file://")).glob("*.parquet"))
+        assert made.agg({"id": "sum"}).first()[0] == 19_900
+    told = [pq.ParquetFile(f).metadata for f in files]
+    groups = [m.row_group(i).total_byte_size for m in told for i in range(m.num_row_groups)]
+    drop_staged(made)
+    assert len(groups) > 1 and max(groups) < 32 << 20
+    assert [spark.conf.get(n, None) for n in names] == before
