@@ -245,6 +245,28 @@ def test_many_rows_of_one_id_keep_one_copy_of_a_line(spark):
     assert (out.count(), out.filter("kept").count()) == (150_000, 1)
 
 
+def test_lines_are_coded_at_spaces_and_small_groups_left_to_the_join(spark, monkeypatch):
+    """Words are split at one space, whatever separates them in the text; marks that few classes share aren't followed."""
+    seps = [chr(i) for i in range(33) if chr(i) != "\n"]
+    words = [f"s{i}" for i in range(20)]
+    rows = [(0, " ".join(words)), *((i, f"{c}{c.join(words[:19])}{c}x{i}{c} {c}") for i, c in enumerate(seps, 1)), (40, "\t \r"), (41, "pair " + " ".join(f"p{i}" for i in range(12))), (42, " ".join(f"p{i}" for i in range(12)))]
+    plans, leads, write = {}, [], line_dedup.staged
+
+    def seen(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        out = write(df, name)
+        leads.extend([out.count()] * (name == "leads"))
+        return out
+
+    monkeypatch.setattr(line_dedup, "staged", seen)
+    for some in (rows, rows[-3:]):
+        leads.clear()
+        got = {(r.doc_id, r.line_no): (r.n_links, r.kept) for r in line_dedup.dedup_lines(docs(spark, some)).collect()}
+        assert got == brute_lines(some)
+        assert bool(sum(leads)) == (some is rows)
+    assert line_dedup.SPACE not in plans["lines"] and got[(42, 0)] == (1, False)
+
+
 # --- op 6
 
 
