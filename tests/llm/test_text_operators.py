@@ -267,6 +267,23 @@ def test_lines_are_coded_at_spaces_and_small_groups_left_to_the_join(spark, monk
     assert line_dedup.SPACE not in plans["lines"] and got[(42, 0)] == (1, False)
 
 
+def test_pairs_of_near_copies_that_both_go_are_not_verified(spark, monkeypatch):
+    """Where marks settle nothing, a group of m near copies still has few more verified pairs than copies, not all m * m / 2."""
+    base, m = [f"k{i}" for i in range(40)], 60
+    rows = [(0, " ".join(base)), *((k, " ".join([*base[: k % 40], f"new{k}", *base[k % 40 + 1 :]])) for k in range(1, m + 1))]
+    verified, counts = line_dedup._verified, []
+
+    def seen(pairs, *rest):
+        counts.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "GROUP", 1 << 30)
+    monkeypatch.setattr(line_dedup, "_verified", seen)
+    got = {(r.doc_id, r.line_no): (r.n_links, r.kept) for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert got == brute_lines(rows) and got[(0, 0)] == (m, True)
+    assert sum(counts) <= 4 * m
+
+
 # --- op 6
 
 
